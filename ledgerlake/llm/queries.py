@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+import zlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bagminhash, bpe, decontaminate, langid, quality, rlz, shard
+from ledgerlake.llm import bagminhash, bpe, decontaminate, langid, quality, rlz, shard, tiff
 
 #: The rank file of op7; a parameter of the operator.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -64,6 +68,49 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each file from its page rows, which follow each other in order."""
+    names = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
+    held: list = []
+    sha, n, tail, count, kinds = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), []
+
+    def row() -> list:
+        share = count[count > 0] / max(1, n)
+        feature = f"pages={len(kinds)};compressions={','.join(map(str, sorted(set(kinds))))};mean={(count @ np.arange(256)) / max(1, n):.4f};entropy={-(share @ np.log2(share)):.4f}"
+        return [*held, n, sha.hexdigest(), zlib.crc32(tail), feature]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("feature", pa.string())])
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
+
+    for batch in batches:
+        out = []
+        cols = [batch.column(c).to_pylist() for c in names]
+        for i, (page, data, how, error) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("page", "data", "compression", "error")), strict=True)):
+            if error:
+                raise ValueError(f"page {page} of document {cols[0][i]}: {error}")
+            if page == 0:
+                if kinds:
+                    out.append(row())
+                held = [c[i] for c in cols]
+                sha, n, tail, count, kinds = hashlib.sha256(), 0, b"", np.zeros(256, np.int64), []
+            sha.update(data)
+            n, tail = n + len(data), data[-16:]
+            count += np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+            kinds.append(how)
+        if out:
+            yield batch_of(out)
+    if kinds:
+        yield batch_of([row()])
+
+
+def op9_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tiff.store(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    files = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    folded = tiff.pages(files).mapInArrow(_fold_pages, "doc_id long, n_bytes long, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")
+    return folded.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
@@ -78,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_duplicates": op8_near_duplicates,
+    "op9_tiff": op9_tiff,
     "op10_feistel_shards": op10_feistel_shards,
 }
 
