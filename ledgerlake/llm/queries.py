@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import bagminhash, bpe, decontaminate, langid, lm, quality, rlz, shard, tiff
+from ledgerlake.llm import bagminhash, bpe, chat, decontaminate, langid, lm, quality, rlz, shard, tiff
 
 #: The rank file of op7; a parameter of the operator.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -63,6 +63,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations")
+    model = chat.train(lines.filter(~held_out("conv_id", 5, 0)), "conv_id", "turn", "text", "role")
+    return chat.format_chat(lines.select("conv_id", "turn", "text"), model=model)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_chat_format": op6_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_near_duplicates": op8_near_duplicates,
     "op9_tiff": op9_tiff,
