@@ -1,8 +1,8 @@
 """Exchange between blocks of documents and buckets of keys.
 
-Documents are cut into blocks of a few MB, written once to the shared folder. Each
-block sends every distinct key (word, n-gram, window) once to the bucket of the key's
-hash; a bucket answers each block; the answers meet their block again. A key that a
+Documents are cut into blocks of a few MB, shuffled once; both uses below read that one
+exchange. Each block sends every distinct key (word, n-gram, window) once to the bucket
+of the key's hash; a bucket answers each block; the answers meet their block again. A key that a
 third of all rows hold is one entry for each block, so no bucket outgrows the others,
 and what a task holds is a block or a bucket, both of bounded size. Only a single text
 larger than a block makes a larger one.
@@ -19,14 +19,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.store import write_table
-
 BLOCK_BYTES = 8 << 20
 
 
-def pack_table(batch: pa.RecordBatch | pa.Table) -> bytes:
+def pack_table(batch: pa.RecordBatch | pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
         out.write(batch)
     return sink.getvalue().to_pybytes()
 
@@ -49,8 +47,13 @@ def unpack_ints(data: bytes, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if ascending else x
 
 
-def make_blocks(docs: DataFrame, text: str, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (block, n_docs, n_bytes, data): ``data`` holds the rows of ``docs``."""
+def text_bytes(docs: DataFrame, text: str) -> int:
+    return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).head()[0] or 0
+
+
+def make_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (block, data), dealt out by block: ``data`` holds rows of ``docs``. A block's
+    number is its input partition and its place there, so a lost one is made anew alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
@@ -62,16 +65,11 @@ def make_blocks(docs: DataFrame, text: str, name: str, block_bytes: int = BLOCK_
                 stop = max(start + 1, int(np.searchsorted(ends, done + block_bytes, "right")))
                 piece = batch.slice(start, stop - start)
                 yield pa.RecordBatch.from_pydict(
-                    {"block": [part << 32 | k], "n_docs": [stop - start], "n_bytes": [int(ends[stop - 1] - done)], "data": [pack_table(piece)]},
-                    pa.schema([("block", pa.int64()), ("n_docs", pa.int64()), ("n_bytes", pa.int64()), ("data", pa.binary())]),
+                    {"block": [part << 32 | k], "data": [pack_table(piece)]}, pa.schema([("block", pa.int64()), ("data", pa.binary())])
                 )
                 start, k = stop, k + 1
 
-    return write_table(docs.mapInArrow(run, "block long, n_docs long, n_bytes long, data binary"), name)
-
-
-def total(blocks: DataFrame, column: str) -> int:
-    return blocks.agg(F.sum(column)).head()[0] or 0
+    return docs.mapInArrow(run, "block long, data binary").repartition("block")
 
 
 def exchange(
@@ -100,5 +98,5 @@ def exchange(
         return pa.concat_tables(out)
 
     kept = "bucket int, block long, data binary"
-    answers = blocks.select("block", "data").mapInArrow(send, kept).groupBy("bucket").applyInArrow(answer, kept)
-    return blocks.select("block", "data").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)
+    answers = blocks.mapInArrow(send, kept).groupBy("bucket").applyInArrow(answer, kept)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

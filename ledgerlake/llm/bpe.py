@@ -61,24 +61,38 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
 
 
+class _Numbers(dict):
+    """Numbers what it is asked for in order of first use."""
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        return n
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``docs`` with its ``text`` column replaced by ``ids`` ARRAY<INT>."""
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    blocks = B.make_blocks(docs, text, "bpe")
-    n_buckets = B.total(blocks, "n_bytes") // BUCKET_BYTES + 1
+    n_buckets = B.text_bytes(docs, text) // BUCKET_BYTES + 1
+    blocks = B.make_blocks(docs, text)
     out = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
-    def pieces(table: pa.Table) -> tuple[list[list[str]], list[list[str]]]:
-        """The pre-tokens of each document; the distinct ones of each bucket, sorted."""
-        find = regex.compile(pattern).findall
-        each = [find(x) if x else [] for x in table[text].to_pylist()]
+    def pieces(table: pa.Table) -> tuple[list[np.ndarray], list[list[str]], np.ndarray]:
+        """The pre-tokens of each document as numbers; the distinct ones of each bucket,
+        sorted; the place of each number in their sequence."""
+        find, numbers = regex.compile(pattern).findall, _Numbers()
+        each = []
+        for x in table[text]:
+            words = find(x.as_py() or "")
+            each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
         by: list[list[str]] = [[] for _ in range(n_buckets)]
-        for w in set().union(*each):
-            by[xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % n_buckets].append(w)
+        for w in numbers:
+            by[xxhash.xxh3_64_intdigest(w.encode()) % n_buckets].append(w)
         for x in by:
             x.sort()
-        return each, by
+        place = np.empty(len(numbers), np.int64)
+        place[[numbers[w] for words in by for w in words]] = np.arange(len(numbers))
+        return each, by, place
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         for k, words in enumerate(pieces(table)[1]):
@@ -89,25 +103,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         known: dict[str, list[int]] = {}
         answers = []
         for m in messages:
-            ids = []
+            each = []
             for w in B.unpack_table(m)["w"].to_pylist():
                 if (x := known.get(w)) is None:
                     x = known[w] = encode_piece(w.encode(), ranks.value)
-                ids.append(x)
-            answers.append(B.pack_table(pa.table({"ids": pa.array(ids, pa.list_(pa.int32()))})))
+                each.append(x)
+            flat = np.fromiter((i for x in each for i in x), np.uint64)
+            lengths = np.fromiter(map(len, each), np.uint64, len(each))
+            answers.append(B.pack_table(pa.table({"n": [B.pack_ints(lengths)], "ids": [B.pack_ints(flat)]})))
         return answers
 
     def finish(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        each, by = pieces(table)
-        place = {w: i for i, w in enumerate(w for words in by for w in words)}
-        got = [B.unpack_table(answers[k])["ids"].combine_chunks() for k, words in enumerate(by) if words]
-        got = pa.concat_arrays(got) if got else pa.array([], pa.list_(pa.int32()))
-        offsets, flat = np.asarray(got.offsets), np.asarray(got.values)
-        n = sum(map(len, each))
-        at = np.fromiter((place[w] for words in each for w in words), np.int64, n)
+        each, by, place = pieces(table)
+        got = [B.unpack_table(answers[k]).to_pylist()[0] for k, words in enumerate(by) if words]
+        of = lambda name: np.concatenate([np.empty(0, np.uint64), *(B.unpack_ints(x[name]) for x in got)]).astype(np.int64)
+        offsets, flat = np.concatenate([[0], np.cumsum(of("n"))]), of("ids").astype(np.int32)
+        at = place[np.concatenate([np.empty(0, np.int32), *each])]
         starts, lengths = offsets[at], offsets[at + 1] - offsets[at]
         ends = np.cumsum(lengths, dtype=np.int64)
-        ids_out = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if n else 0)]
+        ids_out = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(at) else 0)]
         words_to = np.cumsum([0] + [len(x) for x in each])
         doc_to = np.concatenate([[0], ends])[words_to].astype(np.int32)
         rest = table.drop_columns([text])
@@ -125,7 +139,10 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = table.value.__getitem__
         for batch in batches:
-            made = [None if x.as_py() is None else b"".join(map(token, x.values.to_pylist())) for x in batch.column(ids)]
+            column = batch.column(ids)
+            flat, offsets = np.asarray(column.values), np.asarray(column.offsets).tolist()
+            valid = column.is_valid().to_pylist()
+            made = [b"".join(map(token, flat[a:b].tolist())) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
             yield batch.append_column(out, pa.array(made, pa.binary()))
 
     return df.mapInArrow(run, schema)

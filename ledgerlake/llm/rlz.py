@@ -44,8 +44,8 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     """``docs`` with ``n_words`` LONG, ``spans`` ARRAY<STRUCT<start, words>> (duplicate
     factors, in word positions), ``n_removed`` LONG (words that they cover) and ``kept``
     STRING (the other words, joined by a space)."""
-    blocks = B.make_blocks(docs, text, "rlz")
-    n_buckets = B.total(blocks, "n_bytes") // (6 * BUCKET_PHRASES) + 1
+    n_buckets = B.text_bytes(docs, text) // (6 * BUCKET_PHRASES) + 1
+    blocks = B.make_blocks(docs, text)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())])
     extra = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *extra])
