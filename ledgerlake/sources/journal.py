@@ -9,10 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
-
-SCHEMA = StructType.fromDDL(
-    "sqn BIGINT, kind STRING, tag STRING, bucket_type STRING, bucket STRING, key STRING, sub_key STRING, value STRING, size BIGINT, obj_hash BIGINT, lmd BIGINT, ttl BIGINT, idx ARRAY<STRUCT<op: STRING, field: STRING, term_s: STRING, term_i: BIGINT>>"
+from pyspark.sql import types as T
+
+_SPEC = T.StructType([T.StructField("op", T.StringType()), T.StructField("field", T.StringType()), T.StructField("term_s", T.StringType()), T.StructField("term_i", T.LongType())])
+_NUMBERS = ("sqn", "size", "obj_hash", "lmd", "ttl")
+SCHEMA = T.StructType(
+    [
+        T.StructField(n, T.ArrayType(_SPEC) if n == "idx" else T.LongType() if n in _NUMBERS else T.StringType())
+        for n in ("sqn", "kind", "tag", "bucket_type", "bucket", "key", "sub_key", "value", "size", "obj_hash", "lmd", "ttl", "idx")
+    ]
 )
 KEY = ["tag", "bucket_type", "bucket", "key", "sub_key"]
 #: Seconds from year 0 to 1970, the epoch of TTLs.

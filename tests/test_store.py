@@ -1,0 +1,248 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerlake.functions import hashing as H
+from ledgerlake.operators import maintain, tictac
+from ledgerlake.operators.store import Query, Store
+from ledgerlake.operators.tags import Tag, Tags
+from ledgerlake.plans.tokens import LanguageError
+from ledgerlake.sources import journal as J
+from ledgerlake.streaming import ledger as stream
+
+NOW = 1000
+
+
+def add(field, term):
+    return ("add", field, term if isinstance(term, str) else None, term if isinstance(term, int) else None)
+
+
+def remove(field, term):
+    return ("remove", *add(field, term)[1:])
+
+
+def journal(spark, *writes: dict):
+    """Rows from (key, ...) dicts, numbered in order unless they say otherwise."""
+    rows = []
+    for n, w in enumerate(writes, 1):
+        r = {"sqn": n, "kind": "stnd", "tag": "o", "bucket": "B", "lmd": None, "ttl": None, "idx": None} | w
+        if r["kind"] == "stnd":
+            r.setdefault("value", f"v{n}")
+            r.setdefault("size", len(r["value"]))
+            r.setdefault("obj_hash", n * 7919)
+        rows.append(tuple(r.get(c) for c in J.SCHEMA.names))
+    return spark.createDataFrame(rows, J.SCHEMA)
+
+
+def keys(df):
+    return sorted(r["key"] for r in df.collect())
+
+
+def test_last_write_wins_and_deletes_hide(spark):
+    s = Store(journal(spark, {"key": "K1"}, {"key": "K2"}, {"key": "K1", "value": "new"}, {"key": "K2", "kind": "tomb"}), NOW)
+    assert keys(s.heads("o")) == ["K1"]
+    assert [r["value"] for r in s.get("B", "K1").collect()] == ["new"]
+    assert s.get("B", "K2").count() == 0 and s.sqn("B", "K1").head()["sqn"] == 3
+
+
+def test_expiry_is_inclusive_and_sqn_order_ignores_it(spark):
+    s = Store(journal(spark, {"key": "a", "ttl": NOW}, {"key": "b", "ttl": NOW - 1}, {"key": "c"}, {"key": "d"}, {"key": "d", "kind": "tomb"}), NOW)
+    assert keys(s.key_list()) == ["a", "c"]
+    assert [r["key"] for r in s.object_fold(order="sqn").collect()] == ["a", "b", "c"]
+    assert [r["key"] for r in s.object_fold(order="key").collect()] == ["a", "c"]
+
+
+def test_snapshots_are_points_in_time(spark):
+    s = Store(journal(spark, {"key": "K1", "value": "V1"}, {"key": "K1", "value": "V2"}, {"key": "K1", "value": "V3"}), NOW)
+    assert s.snapshot(2).get("B", "K1").head()["value"] == "V2"
+    assert s.get("B", "K1").head()["value"] == "V3"
+    assert s.snapshot().max_sqn == 3
+
+
+def test_typed_buckets_come_first_and_need_a_live_key(spark):
+    s = Store(journal(spark, {"key": "k", "bucket": "A"}, {"key": "k", "bucket_type": "T", "bucket": "Z"}, {"key": "k", "bucket": "dead"}, {"key": "k", "bucket": "dead", "kind": "tomb"}), NOW)
+    assert [(r[0], r[1]) for r in s.bucket_list().collect()] == [("T", "Z"), (None, "A")]
+    assert [(r[0], r[1]) for r in s.bucket_list(first=True).collect()] == [("T", "Z")]
+    assert keys(s.key_list(bucket=("T", "Z"))) == ["k"] and not s.is_empty() and s.is_empty("x")
+
+
+def test_key_ranges_and_patterns(spark):
+    s = Store(journal(spark, *({"key": f"K{i:04d}"} for i in range(1300))), NOW)
+    assert s.key_list(bucket="B", start="K0123", end="K0779").count() == 657
+    assert s.key_list(bucket="B", start="K0123", end="K0779", pattern="K.*").count() == 657
+    assert s.key_list(bucket="B", start="K0123", end="K0779", pattern="key").count() == 0
+    with pytest.raises(LanguageError):
+        s.key_list("h", pattern="x")
+
+
+def test_index_rows_are_not_looked_after(spark):
+    s = Store(journal(spark, {"key": "a", "idx": [add("f", "x")]}, {"key": "a", "kind": "tomb"}, {"key": "b", "idx": [add("f", "y")]}, {"key": "b", "idx": [remove("f", "y"), add("f", "z")]}, {"key": "c", "ttl": 10, "idx": [add("f", "x")]}), NOW)
+    assert sorted((r["term_s"], r["key"]) for r in s.index_fold("B", "f", "a", "~", returns=True).collect()) == [("x", "a"), ("z", "b")]
+    assert keys(s.index_fold("B", "f", "a", "~")) == ["a", "b"]
+
+
+def test_index_bodies_are_those_of_the_entry(spark):
+    s = Store(journal(spark, {"key": "a", "value": "old", "idx": [add("f", "x")]}, {"key": "a", "value": "new"}), NOW)
+    assert [r["value"] for r in s.object_fold_by_index("B", "f", "a", "z").collect()] == ["old"]
+
+
+def test_index_folds_are_bags_and_multi_index_is_a_set(spark):
+    s = Store(journal(spark, {"key": "a", "idx": [add("f", "x"), add("f", "y"), add("g", 3)]}, {"key": "b", "idx": [add("f", "x"), add("g", 9)]}), NOW)
+    assert keys(s.index_fold("B", "f", "a", "z")) == ["a", "a", "b"]
+    assert keys(s.multi_index_fold("B", [(1, ("f", "a", "z", Query()))], "$1")) == ["a", "b"]
+    assert keys(s.multi_index_fold("B", [(1, ("f", "a", "z", Query())), (2, ("g", 1, 5, Query()))], "$1 SUBTRACT $2")) == ["b"]
+    assert keys(s.multi_index_fold("B", [(1, ("f", "a", "z", Query()))], lambda sets: sets[1].filter("key = 'b'"))) == ["b"]
+
+
+def test_index_ranges(spark):
+    s = Store(journal(spark, *({"key": k, "idx": [add("f", t)]} for k, t in [("k1", "a"), ("k2", "a"), ("k1", "b"), ("k3", "c")])), NOW)
+    assert s.index_fold("B", "f", "a", None).count() == 0
+    assert keys(s.index_fold("B", "f", "a", "c", start_key="k2")) == ["k1", "k2", "k3"]
+    assert keys(s.index_fold("B", "f", "a", "c", pattern="[ac]")) == ["k1", "k2", "k3"]
+    with pytest.raises(LanguageError):
+        s.index_fold("B", "f", "a", "c", returns="x")
+
+
+def test_returned_attributes_drop_rows_without(spark):
+    s = Store(journal(spark, {"key": "a", "idx": [add("f", "x|1")]}, {"key": "b", "idx": [add("f", "y")]}), NOW)
+    q = Query('delim($term, "|", ($l, $r))', "attribute_exists($l)")
+    assert [(r["attr_s"], r["key"]) for r in s.index_fold("B", "f", "a", "z", returns="r", query=q).collect()] == [("1", "a")]
+    assert s.index_fold("B", "f", "a", "z", returns="none", query=q).count() == 0
+    own = Query(lambda df: df.withColumn("attr:n", F.struct(F.col("term_s").alias("s"), F.lit(1).alias("i"), F.array().alias("l"))), lambda get: get("n")["s"].startswith("y"))
+    assert keys(s.index_fold("B", "f", "a", "z", query=own)) == ["b"]
+
+
+def test_one_composite_index_equals_three(spark):
+    people = [(f"{i:03d}", f"S{i % 7}", f"19{i % 60:02d}", f"G{i % 5}") for i in range(120)]
+    s = Store(journal(spark, *({"key": k, "idx": [add("all", f"{a}|{b}|{c}"), add("fam", f"{a}|{b}"), add("giv", f"{c}|{b}")]} for k, a, b, c in people)), NOW)
+    whole = Query('delim($term, "|", ($a, $b, $c))', '$a = "S3" AND $b BETWEEN "1910" AND "1940" AND NOT $c = "G2"')
+    born = Query('delim($term, "|", ($n, $b))', '$b BETWEEN "1910" AND "1940"')
+    three = s.multi_index_fold("B", [(1, ("fam", "S3", "S3~", born)), (2, ("giv", "G2", "G2~", Query()))], "$1 SUBTRACT $2")
+    one = s.index_fold("B", "all", "S", "S~", query=whole)
+    expected = sorted(k for k, a, b, c in people if a == "S3" and "1910" <= b <= "1940" and c != "G2")
+    assert keys(one) == keys(three) == expected != []
+
+
+def test_head_folds(spark):
+    s = Store(journal(spark, {"key": "a", "lmd": 10}, {"key": "b", "lmd": 20}, {"key": "c"}, {"key": "d", "bucket": "C", "lmd": 20}), NOW)
+    assert keys(s.head_fold(lmd=(15, 25))) == ["b", "c", "d"]
+    assert keys(s.head_fold(buckets=["C", "B", "C"])) == ["a", "b", "c", "d", "d"]
+    assert keys(s.head_fold(max_count=2)) == ["a", "b"]
+    seg = {r["key"]: r["s"] for r in s.heads("o").select("key", H.segment48(F.concat("bucket", "key"))["seg"].alias("s")).collect()}
+    assert "a" in keys(s.head_fold(segments=[seg["a"] ^ 32768]))  # the top bit isn't looked at
+
+
+def test_limit_counts_before_presence(spark):
+    rows = journal(spark, {"key": "a"}, {"key": "b"}, {"key": "c"})
+    lost = Store(rows, NOW)
+    assert keys(lost.head_fold(max_count=2, presence=True)) == ["a", "b"]
+
+
+def test_head_only_rows(spark):
+    s = Store(journal(spark, *({"key": k, "sub_key": f"{i:02d}", "tag": "h", "kind": "mput", "obj_hash": i, "sqn": 1} for k in ("x", "y") for i in range(5))), NOW)
+    assert s.head_only("B", "x", "03").head()["obj_hash"] == 3
+    got = s.head_fold("h", bucket="B", keys=("x", "y"), sub_keys=("03", "01"))
+    assert sorted((r["key"], r["sub_key"]) for r in got.collect()) == [("x", "03"), ("x", "04"), ("y", "00"), ("y", "01")]
+
+
+def test_folds_in_order_and_named_queries(spark):
+    s = Store(journal(spark, {"key": "b"}, {"key": "a"}, {"key": "c"}), NOW)
+    assert s.fold(s.head_fold(), ["key"], lambda out, r: out + r["key"], "") == "abc"
+    assert keys(s.return_folder(("keylist", "o", "B"))) == ["a", "b", "c"]
+    assert s.return_folder(("bucket_stats", "B")).head()["n_objects"] == 3
+    with pytest.raises(LanguageError):
+        s.return_folder(("nothing",))
+
+
+def test_trees(spark):
+    writes = [{"key": f"k{i}"} for i in range(300)]
+    one, other = Store(journal(spark, *writes), NOW), Store(journal(spark, *writes[:250]), NOW)
+    whole, part = tictac.of_objects(one, "o", "B", "xxsmall"), tictac.of_objects(other, "o", "B", "xxsmall")
+    rest = tictac.of_objects(Store(one.journal.filter("sqn > 250"), NOW), "o", "B", "xxsmall")
+    assert tictac.diff(whole, tictac.merge(part, rest)).count() == 0
+    assert {r[0] for r in tictac.diff(whole, part).collect()} == {r[0] for r in rest.select("segment").collect()}
+    text = tictac.export(whole, "xxsmall")
+    back, size = tictac.load(spark, text)
+    assert size == "xxsmall" and tictac.diff(whole, back).count() == 0
+    assert tictac.diff(tictac.alter(whole, 5, 99), whole).count() == 1
+    more = tictac.add(part, "Bnew", "v", "xxsmall")
+    assert tictac.diff(more, part).count() == 1
+    total = {r["branch"]: r["hash"] for r in tictac.branches(whole).collect()}
+    leaves = tictac.leaves_of(whole, list(total)).groupBy("branch").agg(F.bit_xor("hash").alias("h")).collect()
+    assert total == {r["branch"]: r["h"] for r in leaves}
+
+
+def test_segment_lists():
+    assert H.adjust_segments([1, 2], "xsmall", "small") == sorted(s + 16384 * k for s in (1, 2) for k in range(4))
+    assert H.adjust_segments([16384 + 3], "small", "xsmall") == [3]
+    assert H.segment_filter([1], "xxsmall") is None
+    assert H.segment_filter([1, 2, 3, 4, 5], "xsmall") is None
+    assert len(H.segment_filter([1, 2], "xsmall")) == 8
+    assert H.segment_filter([9, 3], "large") == [3, 9]
+
+
+def test_compaction(spark):
+    s = Store(journal(spark, {"key": "a", "idx": [add("f", "x")]}, {"key": "a"}, {"key": "b"}, {"key": "b", "kind": "tomb"}), NOW)
+    got = {r["sqn"]: (r["kind"], r["value"]) for r in maintain.compact(s).collect()}
+    assert got == {1: ("keyd", None), 2: ("stnd", "v2"), 3: ("keyd", None), 4: ("tomb", None)}
+    again = Store(maintain.compact(s), NOW)
+    assert keys(again.heads("o")) == ["a"] and keys(again.index_fold("B", "f", "a", "z")) == ["a"]
+    assert sorted(r["sqn"] for r in maintain.compact(s, {"o": "recovr"}).collect()) == [2, 4]
+    score = maintain.compaction_score(s, 2)
+    assert {r["block"]: (r["live_size"], r["total_size"]) for r in score.collect()} == {0: (0, 2), 1: (2, 4)}
+    assert maintain.best_run(score) == [0, 1]
+
+
+def test_index_changes(spark):
+    kind = "key string, terms array<struct<field:string,term_s:string,term_i:bigint>>"
+    old = spark.createDataFrame([("a", [("f", "x", None), ("f", "y", None)]), ("gone", [("g", None, 1)])], kind)
+    new = spark.createDataFrame([("a", [("f", "y", None), ("f", "z", None)]), ("new", [("g", None, 2)])], kind)
+    got = {r["key"]: [tuple(x) for x in r["idx"]] for r in maintain.index_changes(old, new, ["key"]).collect()}
+    assert got == {"a": [("remove", "f", "x", None), ("add", "f", "z", None)], "gone": [("remove", "g", None, 1)], "new": [("add", "g", None, 2)]}
+
+
+def test_tags_can_be_defined(spark):
+    tags = Tags({"o": Tag(build_head=lambda c: F.concat(c("key"), F.lit("!")), canonical=lambda c: F.upper(c("key")))})
+    s = Store(journal(spark, {"key": "a"}), NOW, tags=tags)
+    assert s.head("B", "a").head()["head"] == "a!"
+    seg = spark.range(1).select(H.segment48(F.lit("A"))["seg"]).head()[0]
+    assert keys(s.head_fold(segments=[seg])) == ["a"]
+
+
+def test_append_read_and_layouts(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    batch = J.rows(spark.range(10), bucket=F.lit("B"), key=F.lpad(F.col("id").cast("string"), 3, "0"), value=F.col("id").cast("string"), idx=F.array(J.spec("add", "f", F.col("id").cast("string"))))
+    assert J.append(batch, path, ["key"]) == 10
+    assert J.append(batch.filter("key < '005'"), path, ["key"]) == 15
+    rows = J.read(spark, path)
+    assert sorted(r["sqn"] for r in rows.collect()) == list(range(1, 16))
+    assert [r["key"] for r in rows.filter("sqn <= 10").orderBy("sqn").collect()] == [f"{i:03d}" for i in range(10)]
+    s = Store(rows, NOW)
+    J.write_index(s.index_entries(), str(tmp_path / "idx"), 2)
+    assert spark.read.parquet(str(tmp_path / "idx")).count() == 10
+    J.write_heads(s.heads(), str(tmp_path / "heads"))
+    assert spark.read.parquet(str(tmp_path / "heads")).filter("tag = 'o' AND key = '003'").head()["sqn"] == 14
+    J.backup(rows, str(tmp_path / "copy"))
+    assert J.read(spark, str(tmp_path / "copy")).count() == 15
+
+
+def test_streamed_ledger_equals_the_batch_one(spark, tmp_path):
+    rows = journal(spark, *({"key": f"k{i % 5}", "kind": "tomb" if i % 4 == 0 else "stnd"} for i in range(30)))
+    path, state, mark = (str(tmp_path / x) for x in ("journal", "state", "mark"))
+    rows.filter("sqn % 3 = 0 OR sqn > 25").write.parquet(path)
+    stream.maintain(spark, path, state, mark, 1).awaitTermination()
+    rows.filter("sqn % 3 <> 0 AND sqn <= 25").write.mode("append").parquet(path)  # late, lower numbers
+    stream.maintain(spark, path, state, mark, 1).awaitTermination()
+    got = {(r["key"], r["sqn"], r["is_tomb"]) for r in stream.current(spark, state).collect()}
+    assert got == {(r["key"], r["sqn"], r["is_tomb"]) for r in Store(rows, NOW).ledger().collect()}
+    assert stream.current(spark, str(tmp_path / "none")) is None
+
+
+def test_key_filters_reach_the_scan(spark, tmp_path):
+    path = str(tmp_path / "journal")
+    journal(spark, {"key": "a"}, {"key": "b"}).write.parquet(path)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = Store(J.read(spark, path), NOW).head("B", "a")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(key,a)" in plan and "value" not in plan.split("ReadSchema")[1]
