@@ -7,6 +7,8 @@ index changes. Numbers order writes; a batch of head-only rows shares one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,17 +60,21 @@ def append(batch: DataFrame, path: str, order: list[str], base: int | None = Non
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             base = 0
-    ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).persist()
-    counts = sorted(ranged.groupBy("_part").count().collect())  # one row a partition
-    start, offsets = base, {}
-    for part, n in counts:
-        offsets[part] = start
+    # What is numbered is read from files, so a lost executor can't deal the rows anew.
+    staging = f"{path}/_staging-{uuid.uuid4().hex}"
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = batch.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged.withColumns({"_part": F.spark_partition_id(), "_at": at}).write.parquet(staging)
+    staged = spark.read.parquet(staging)
+    start, offsets = base, []
+    for part, n in sorted(staged.groupBy("_part").count().collect()):  # one row a partition
+        offsets += [F.lit(part), F.lit(start)]
         start += n
     if offsets:
-        inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
-        table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)])
-        ranged.withColumn("sqn", table[F.col("_part")] + inside + 1).select(SCHEMA.names).write.mode("append").parquet(path)
-    ranged.unpersist()
+        number = F.create_map(*offsets)[F.col("_part")] + F.col("_at") + 1
+        staged.withColumn("sqn", number).select(SCHEMA.names).write.mode("append").parquet(path)
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
     return start
 
 

@@ -215,6 +215,8 @@ def test_append_read_and_layouts(spark, tmp_path):
     batch = J.rows(spark.range(10), bucket=F.lit("B"), key=F.lpad(F.col("id").cast("string"), 3, "0"), value=F.col("id").cast("string"), idx=F.array(J.spec("add", "f", F.col("id").cast("string"))))
     assert J.append(batch, path, ["key"]) == 10
     assert J.append(batch.filter("key < '005'"), path, ["key"]) == 15
+    assert J.append(batch.filter("key = 'none'"), path, ["key"]) == 15
+    assert not [x for x in (tmp_path / "journal").iterdir() if "staging" in x.name]
     rows = J.read(spark, path)
     assert sorted(r["sqn"] for r in rows.collect()) == list(range(1, 16))
     assert [r["key"] for r in rows.filter("sqn <= 10").orderBy("sqn").collect()] == [f"{i:03d}" for i in range(10)]
@@ -227,7 +229,9 @@ def test_append_read_and_layouts(spark, tmp_path):
     assert J.read(spark, str(tmp_path / "copy")).count() == 15
 
 
-def test_streamed_ledger_equals_the_batch_one(spark, tmp_path):
+@pytest.mark.parametrize("compact", [32, 2])
+def test_streamed_ledger_equals_the_batch_one(spark, tmp_path, monkeypatch, compact):
+    monkeypatch.setattr(stream, "COMPACT", compact)
     rows = journal(spark, *({"key": f"k{i % 5}", "kind": "tomb" if i % 4 == 0 else "stnd"} for i in range(30)))
     path, state, mark = (str(tmp_path / x) for x in ("journal", "state", "mark"))
     rows.filter("sqn % 3 = 0 OR sqn > 25").write.parquet(path)
@@ -237,6 +241,7 @@ def test_streamed_ledger_equals_the_batch_one(spark, tmp_path):
     got = {(r["key"], r["sqn"], r["is_tomb"]) for r in stream.current(spark, state).collect()}
     assert got == {(r["key"], r["sqn"], r["is_tomb"]) for r in Store(rows, NOW).ledger().collect()}
     assert stream.current(spark, str(tmp_path / "none")) is None
+    assert any("base-" in p for p in stream.parts(spark, state)) == (compact == 2)
 
 
 def test_key_filters_reach_the_scan(spark, tmp_path):
