@@ -28,3 +28,8 @@ def sample(n: int = 60) -> list[tuple]:
 
     t: pa.Table = pq.read_table(f"{SF}/documents.parquet", columns=["doc_id", "text"])
     return list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))[:n]
+
+
+def no(i: int | None) -> int:
+    """An id that sorts."""
+    return -1 if i is None else i

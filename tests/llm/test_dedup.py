@@ -9,7 +9,7 @@ import pytest
 
 from ledgerlake.llm import bagminhash, queries, rlz
 from ledgerlake.llm.components import components
-from tests.llm.helpers import ODD, SF, docs, sample, words
+from tests.llm.helpers import ODD, SF, docs, no, sample, words
 
 
 def brute_spans(rows: list[tuple], width: int) -> list[tuple]:
@@ -89,7 +89,7 @@ def brute_classes(rows: list[tuple], threshold: float) -> list[tuple]:
     for i, t in rows:
         if t is not None and i is not None:
             least[find(t)] = min(least.get(find(t), 1 << 70), i)
-    return sorted((i or -1, (i if t is None else least.get(find(t))) or -1) for i, t in rows)
+    return sorted((no(i), no(i if t is None else least.get(find(t)))) for i, t in rows)
 
 
 def test_signatures_are_unbiased():
@@ -135,7 +135,7 @@ def test_near_duplicates_against_all_pairs(spark):
     rows.append((701, words(40_000, 8) + " end"))
     r.shuffle(rows)
     got = bagminhash.near_duplicates(docs(spark, rows, extra=True).repartition(4))
-    made = sorted((x["doc_id"] or -1, x["class_id"] or -1) for x in got.collect())
+    made = sorted((no(x["doc_id"]), no(x["class_id"])) for x in got.collect())
     assert made == brute_classes(rows, 0.8)
 
 
@@ -147,7 +147,7 @@ def test_near_duplicates_of_no_rows_and_of_nulls(spark):
 
 def test_near_duplicate_query(spark):
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
-    got = sorted((x["doc_id"] or -1, x["class_id"] or -1) for x in queries.op8_near_duplicates(spark, SF).collect())
+    got = sorted((no(x["doc_id"]), no(x["class_id"])) for x in queries.op8_near_duplicates(spark, SF).collect())
     assert got == brute_classes(rows, 0.8)
 
 

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import blocks, chat, decontaminate, langid, lm, quality, queries, shard, tiff
-from tests.llm.helpers import ODD, SF, docs, sample, words
+from tests.llm.helpers import ODD, SF, docs, no, sample, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -82,7 +82,7 @@ def brute_lm(rows: list[tuple], order: int, alpha: float) -> list[tuple]:
                     break
                 score += math.log(alpha)
             back += n < most
-        out.append((i or -1, len(w), back, round(score / len(w), 6) if w else None))
+        out.append((no(i), len(w), back, round(score / len(w), 6) if w else None))
     return sorted(out, key=str)
 
 
@@ -91,7 +91,7 @@ def test_lm_scores(spark, order):
     r = random.Random(order)
     rows = [*ODD, *sample(40), *((1000 + i, " ".join(r.choice("abcd") for _ in range(r.randint(1, 60)))) for i in range(40)), (5000, words(30_000, 2))]
     got = lm.score(docs(spark, rows, extra=True).repartition(4), order=order)
-    made = sorted(((x["doc_id"] or -1, x["n_words"], x["n_backoff"], None if x["lm_score"] is None else round(x["lm_score"], 6)) for x in got.collect()), key=str)
+    made = sorted(((no(x["doc_id"]), x["n_words"], x["n_backoff"], None if x["lm_score"] is None else round(x["lm_score"], 6)) for x in got.collect()), key=str)
     expected = brute_lm(rows, order, 0.4)
     assert [m[:3] for m in made] == [e[:3] for e in expected]
     assert all(a[3] == b[3] or abs(a[3] - b[3]) < 2e-6 for a, b in zip(made, expected, strict=True))
@@ -101,7 +101,7 @@ def test_lm_of_no_rows_and_query(spark):
     assert lm.score(docs(spark, ODD).filter("doc_id = -1")).count() == 0
     rows = [(r[0], r[1]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     got = sorted(((x[0], x[1], x[2], x[3]) for x in queries.op2_lm_score(spark, SF).collect()), key=str)
-    expected = sorted(((r[0] if r[0] != -1 else 0, *r[1:]) for r in brute_lm(rows, 3, 0.4)), key=str)
+    expected = brute_lm(rows, 3, 0.4)
     assert [g[:3] for g in got] == [e[:3] for e in expected] and all(abs(a[3] - b[3]) < 2e-6 for a, b in zip(got, expected, strict=True))
 
 
@@ -142,7 +142,7 @@ def brute_hits(rows: list[tuple], items: list[tuple], n: int = 8) -> list[tuple]
                 if k + m <= len(w) and (g := tuple(w[k : k + m])) in grams:
                     hit |= set(range(k + 1, k + m + 1))
                     found |= grams[g]
-        out.append((i or -1, len(w), sorted(hit), sorted(found)))
+        out.append((no(i), len(w), sorted(hit), sorted(found)))
     return sorted(out, key=str)
 
 
@@ -154,7 +154,7 @@ def test_decontamination(spark, max_set):
     rows = [*ODD, (1, "x one TWO three four! five six seven eight nine"), (2, "a Short\nitem, short item"), (3, "null id words; Éé ÀÀ éÉ"), (4, "éé àà"), (5, "three four five six seven eight nine ten"), (6, words(20_000, 3) + " short item"), (7, "\x00a\x7fB{c~")]
     items = spark.createDataFrame(ITEMS, "item_id bigint, text string")
     got = decontaminate.scan(docs(spark, rows, extra=True), items, max_set=max_set)
-    made = sorted(((r["doc_id"] or -1, r["n_words"], sorted(r["hits"]), list(r["items"])) for r in got.collect()), key=str)
+    made = sorted(((no(r["doc_id"]), r["n_words"], sorted(r["hits"]), list(r["items"])) for r in got.collect()), key=str)
     assert made == brute_hits(rows, ITEMS)
 
 
@@ -314,7 +314,7 @@ def test_shards(spark):
     rows = docs(spark, [*ODD, *sample(150), *[(77, "same")] * 40]).selectExpr("doc_id", "text", "1 AS slot0")
     got = shard.assign(rows.repartition(5), 7, 3).collect()
     again = shard.assign(rows.coalesce(1), 7, 3).collect()
-    key = lambda r: (r["doc_id"] or -1, r["text"] or "", r["shard"], r["slot"])
+    key = lambda r: (no(r["doc_id"]), r["text"] or "", r["shard"], r["slot"])
     assert sorted(map(key, got)) == sorted(map(key, again))
     n = len(got)
     by: dict[int, list[int]] = {}

@@ -8,7 +8,7 @@ import pytest
 import tiktoken
 
 from ledgerlake.llm import bpe, queries
-from tests.llm.helpers import ODD, SF, docs, sample, words
+from tests.llm.helpers import ODD, SF, docs, no, sample, words
 
 RANKS = bpe.load_ranks(queries.RANKS)
 
@@ -32,9 +32,9 @@ def test_encode_and_decode(spark, oracle):
     ids = bpe.encode(df, queries.RANKS, public_tokenizers.PATTERN)
     got = bpe.decode(ids, queries.RANKS)
     assert set(got.columns) == (set(df.columns) - {"text"}) | {"ids", "decoded"}
-    expected = sorted((i or -1, oracle.encode_ordinary(t or "")) for i, t in rows)
-    assert sorted((r["doc_id"] or -1, list(r["ids"])) for r in got.collect()) == expected
-    assert sorted((r["doc_id"] or -1, bytes(r["decoded"])) for r in got.collect()) == sorted((i or -1, (t or "").encode()) for i, t in rows)
+    expected = sorted((no(i), oracle.encode_ordinary(t or "")) for i, t in rows)
+    assert sorted((no(r["doc_id"]), list(r["ids"])) for r in got.collect()) == expected
+    assert sorted((no(r["doc_id"]), bytes(r["decoded"])) for r in got.collect()) == sorted((no(i), (t or "").encode()) for i, t in rows)
 
 
 def test_no_rows_and_null_ids(spark):
