@@ -34,6 +34,15 @@ def match_segment(a: Column, size_a: str, b: Column, size_b: str) -> Column:
     return a.bitwiseAND(mask) == b.bitwiseAND(mask)
 
 
+def valid_size(size: str) -> bool:
+    return size in WIDTHS
+
+
+def join_segment(branch: int, leaf: int) -> int:
+    """The segment of a leaf of a branch."""
+    return branch * LEAVES + leaf
+
+
 def adjust_segments(segments: list[int], size: str, to: str) -> list[int]:
     """All segments of tree ``to`` that hold keys of ``segments`` of the tree ``size``."""
     if WIDTHS[to] <= WIDTHS[size]:

@@ -20,7 +20,7 @@ from ledgerlake.functions import hashing as H
 from ledgerlake.operators.tags import Tags
 from ledgerlake.plans import evals, filters, setops
 from ledgerlake.plans.tokens import LanguageError
-from ledgerlake.sources.journal import GREGORIAN, KEY
+from ledgerlake.sources.journal import GREGORIAN, KEY, value_hash
 
 HEAD = ["sqn", "is_tomb", "size", "obj_hash", "lmd", "ttl"]
 Bucket = str | tuple[str, str]
@@ -192,6 +192,19 @@ class Store:
             rows = rows.join(there, (F.col("sqn") == F.col("j_sqn")) & (F.col("key") == F.col("j_key")) & (F.col("bucket") == F.col("j_bucket")), "left_semi")
         return rows
 
+    def head_page(self, max_count: int, **how) -> tuple[int, DataFrame]:
+        """What is left of ``max_count``, and the heads of a fold that stops there. The
+        count is of rows before a presence check."""
+        page = self.head_fold(max_count=max_count, **{k: v for k, v in how.items() if k != "presence"})
+        return max_count - page.count(), self.head_fold(max_count=max_count, **how)
+
+    def metadata(self, tag: str) -> DataFrame:
+        """Live objects with the metadata that their tag extracts from bodies."""
+        extract = self.tags.of(tag).extract_metadata
+        rows = self.object_fold(tag)
+        made = extract(F.col("value")) if extract else {"size": F.octet_length("value"), "obj_hash": value_hash(F.col("value"))}
+        return rows.select("bucket_type", "bucket", "key", "sqn", *[c.alias(n) for n, c in made.items()])
+
     def object_fold(self, tag: str = "o", bucket: Bucket | None = None, keys: tuple[str | None, str | None] = (None, None), order: str | None = None) -> DataFrame:
         """Live objects with their bodies. In ``order`` "sqn" the journal is read in write
         order and a row stays if no later write of its key is known: deleted objects are

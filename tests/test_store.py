@@ -139,6 +139,21 @@ def test_limit_counts_before_presence(spark):
     assert keys(lost.head_fold(max_count=2, presence=True)) == ["a", "b"]
 
 
+def test_pages_tell_what_is_left(spark):
+    s = Store(journal(spark, *({"key": f"k{i}"} for i in range(5))), NOW)
+    left, page = s.head_page(3, bucket="B")
+    assert (left, keys(page)) == (0, ["k0", "k1", "k2"])
+    left, page = s.head_page(10, bucket="B", keys=("k3", None), presence=True)
+    assert (left, keys(page)) == (8, ["k3", "k4"])
+
+
+def test_metadata_of_a_tag(spark):
+    own = Tags({"x": Tag(extract_metadata=lambda v: {"first": F.substring(v, 1, 1)})})
+    s = Store(journal(spark, {"key": "a", "tag": "x", "value": "qrs"}, {"key": "b", "value": "zz"}), NOW, tags=own)
+    assert [(r["key"], r["first"]) for r in s.metadata("x").collect()] == [("a", "q")]
+    assert [(r["key"], r["size"]) for r in s.metadata("o").collect()] == [("b", 2)]
+
+
 def test_head_only_rows(spark):
     s = Store(journal(spark, *({"key": k, "sub_key": f"{i:02d}", "tag": "h", "kind": "mput", "obj_hash": i, "sqn": 1} for k in ("x", "y") for i in range(5))), NOW)
     assert s.head_only("B", "x", "03").head()["obj_hash"] == 3
@@ -174,6 +189,7 @@ def test_trees(spark):
 
 
 def test_segment_lists():
+    assert H.valid_size("small") and not H.valid_size("huge") and H.join_segment(3, 7) == 775
     assert H.adjust_segments([1, 2], "xsmall", "small") == sorted(s + 16384 * k for s in (1, 2) for k in range(4))
     assert H.adjust_segments([16384 + 3], "small", "xsmall") == [3]
     assert H.segment_filter([1], "xxsmall") is None
