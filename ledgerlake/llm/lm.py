@@ -8,7 +8,8 @@ factor ``alpha`` for each shorter length; a word that no other document has gets
 share of one word. A document's own n-grams are left out of the counts it is scored
 by, so a text isn't likely merely because it is in the corpus.
 
-N-grams are compared by 64-bit hashes. Words are lower-cased, split at white space.
+N-grams are compared by 56 bits of a hash: of n different ones a given one is counted
+together with another with probability n / 2**56. Words are lower-cased, split at white space.
 Null texts and texts without a word have no words and a null score. Repeated rows are
 documents of their own and count as such. No row is dropped.
 """
@@ -49,7 +50,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
         by_order = []
         for n in range(1, order + 1):
             made = [windows(h, n, powers) for h in each]
-            by_order.append((np.concatenate(made) if made else np.empty(0, np.uint64)) ^ salt[n])
+            by_order.append(((np.concatenate(made) if made else np.empty(0, np.uint64)) ^ salt[n]) & ~np.uint64(255))
         return np.array([len(h) for h in each], np.int64), by_order
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
@@ -62,7 +63,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
             parts = [(keys[c[k] : c[k + 1]], counts[c[k] : c[k + 1]]) for keys, counts, c in sent]
             row = {"words": [int(n_words.sum())]}
             for i, (keys, counts) in enumerate(parts):
-                row |= {f"k{i}": [B.pack_ints(keys, True)], f"n{i}": [B.pack_ints(counts.astype(np.uint64))]}
+                row |= {f"k{i}": [B.pack_ints(keys >> np.uint64(8), True)], f"n{i}": [B.pack_ints(counts.astype(np.uint64))]}
             yield k, B.pack_table(pa.table(row))
 
     def reduce(messages: list[bytes]) -> list[bytes]:
