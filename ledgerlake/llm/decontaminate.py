@@ -80,7 +80,9 @@ def cut(text: Column, hits: Column) -> Column:
     lead = F.regexp_extract(text, f"^{SEPARATOR_CASED}", 0)
     gaps = F.regexp_extract_all(text, F.lit(f"({SEPARATOR_CASED})"), 1)
     gaps = F.when(lead == "", F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
-    kept = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: ~F.array_contains(hits, i))
-    body = F.array_join(F.transform(kept, lambda i: F.concat(F.get(gaps, i - 1), F.get(w, i - 1))), "")
+    # Arguments of a lambda's function are made once, what stands inside for each element.
+    both = F.arrays_zip(gaps.alias("g"), w.alias("w"))
+    kept = F.filter(both, lambda x, i: x["w"].isNotNull() & ~F.array_contains(hits, i + 1))
+    body = F.array_join(F.transform(kept, lambda x: F.concat(x["g"], x["w"])), "")
     tail = F.coalesce(F.get(gaps, F.size(w)), F.lit(""))
     return F.when(F.size(w) == 0, text).otherwise(F.concat(body, tail))
