@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MEMO = 1 << 20
+_MEMO = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlake.llm.store import bounded_batches
+
 N_FEATURES = 1 << 14
 ORDERS = 4
 #: Labelled rows fitted on for each language, landmarks among them, languages.
@@ -47,7 +49,12 @@ def presence(text: str | None, letters: np.ndarray, out: np.ndarray) -> bool:
     some = False
     for a in range(0, len(text or ""), _PIECE):
         codes = np.frombuffer(text[a : a + _PIECE + ORDERS].encode("utf-32-le", "surrogatepass"), np.uint32)
-        codes = letters[np.where(codes < 1 << 16, codes, 32)] if len(codes) and codes.max() < 1 << 16 else np.array([_lower_one(c, letters) for c in codes.tolist()], np.uint32)
+        beyond = codes >= 1 << 16
+        low = letters[np.where(beyond, 32, codes)]
+        if beyond.any():
+            found, at = np.unique(codes[beyond], return_inverse=True)
+            low[beyond] = np.array([_lower_one(chr(c)) for c in found.tolist()], np.uint32)[at]
+        codes = low
         space = codes == 32
         some |= not space.all()
         codes = codes[~(space & np.concatenate([[False], space[:-1]]))]
@@ -61,10 +68,7 @@ def presence(text: str | None, letters: np.ndarray, out: np.ndarray) -> bool:
     return bool(some)
 
 
-def _lower_one(c: int, letters: np.ndarray) -> int:
-    if c < 1 << 16:
-        return int(letters[c])
-    x = chr(c)
+def _lower_one(x: str) -> int:
     return ord(x.lower()[0]) if x.isalpha() else 32
 
 
@@ -118,6 +122,7 @@ def train(labelled: DataFrame, text: str, label: str, per_class: int = PER_CLASS
 
 def predict(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; of ``docs`` only ``text`` is looked at."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm import blocks as B
 from ledgerlake.llm.hashing import WordHashes
+from ledgerlake.llm.store import bounded_batches
 
 BITS = 16
 N_FEATURES = 1 << BITS
@@ -114,6 +115,7 @@ def train(labelled: DataFrame, text: str, label: str, max_rows: int = MAX_ROWS)
 
 def score(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the softmax output for label 1; only ``text`` is looked at."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

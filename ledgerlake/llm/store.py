@@ -22,6 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows that a Python worker holds at once; texts can be long.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches that go to Python have ``BATCH_ROWS`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here. The
     files go when the session ends."""

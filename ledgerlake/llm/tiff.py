@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ledgerlake.llm.store import bounded_batches
+
 # Fixed values of the TIFF 6.0 format: tags, field types, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
 STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 273, 277, 278, 279
@@ -330,6 +332,7 @@ def payload_of(text: str | None) -> tuple[bytes, int]:
 def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """``docs`` with ``text`` replaced by ``n_bytes`` and ``media``, a TIFF of the text's
     UTF-8 padded by spaces to a positive multiple of ``STORE_WIDTH``; null is empty."""
+    bounded_batches(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
     rest = [c for c in docs.columns if c != text]
 
