@@ -143,6 +143,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_lm_score": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents
+), g AS (
+  SELECT r, i, n, array_to_string(w[i - n + 1 : i], ' ') AS s
+  FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d), (VALUES (1), (2), (3)) AS v(n) WHERE i >= n
+), k AS (
+  SELECT r, i, n, count(*) OVER (PARTITION BY n, s) - count(*) OVER (PARTITION BY r, n, s) AS k FROM g
+), p AS (
+  SELECT r, i, max(k) FILTER (n = 1) AS k1, max(k) FILTER (n = 2) AS k2, max(k) FILTER (n = 3) AS k3 FROM k GROUP BY r, i
+), b AS (SELECT *, lag(k1) OVER o AS p1, lag(k2) OVER o AS p2 FROM p WINDOW o AS (PARTITION BY r ORDER BY i)),
+t AS (SELECT r, doc_id, len(w) AS n, sum(len(w)) OVER () - len(w) AS rest FROM d),
+l AS (
+  SELECT r, least(i, 3) AS most, CASE WHEN i >= 3 AND k3 > 0 AND p2 > 0 THEN 3 WHEN i >= 2 AND k2 > 0 AND p1 > 0 THEN 2 ELSE 1 END AS level,
+    k1, k2, k3, p1, p2, rest FROM b JOIN t USING (r)
+), f AS (
+  SELECT r, sum((most - level) * ln(0.4) + CASE level WHEN 3 THEN ln(k3 / p2) WHEN 2 THEN ln(k2 / p1) ELSE ln(greatest(k1, 1) / greatest(rest, 1)) END) AS score,
+    count(*) FILTER (level < most) AS n_backoff FROM l GROUP BY r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, coalesce(n_backoff, 0) AS n_backoff, round(score / n, 6) AS lm_score FROM t LEFT JOIN f USING (r)""",
+    "op3_substring_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT r, doc_id, i, array_to_string(w[i : i + 49], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)
+), m AS (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM g),
+c AS (SELECT r, list(DISTINCT p) AS ps FROM (SELECT r, unnest(range(i, i + 50)) AS p FROM m WHERE least < doc_id) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, k: NOT list_contains(ps, k)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN c USING (r)""",
     "op5_decontaminate": r"""
 WITH RECURSIVE d AS (
   SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
