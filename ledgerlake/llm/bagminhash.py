@@ -11,13 +11,13 @@ shingles cost one or two points. Two signatures agree in a component with a prob
 equal to the weighted Jaccard similarity.
 
 Equal texts are one node. Signatures are cut into ``BANDS`` of four components; nodes
-with an equal band share a bucket. Each bucket names one leader, drawn by hash; every
-other member is a candidate of it. Candidates whose signatures agree in too few
-components to come from similar texts (``FLOOR``, over five standard deviations below)
-are left; the multiset overlap of all others is verified. Verified links join
-components; then buckets that still hold several components draw new leaders, until a
-draw finds no new link. So a bucket of k members costs k candidates a draw, not k*k. At
-similarity 0.8 a pair shares no bucket with a probability of 5e-8.
+with an equal band share a bucket. A bucket names a leader, the member whose buckets are
+largest, and every other is its candidate. Candidates whose signatures agree in too few
+components to come from similar texts (``FLOOR``, 4.5 standard deviations below the
+threshold) are left; the multiset overlap of all others is verified. Verified links join
+components; then buckets, now of pairs of bands, that hold several components draw leaders
+by chance, until a draw finds no new link. So a bucket of k members costs k candidates a
+draw, not k*k. At similarity 0.8 a pair shares no band with a probability of 5e-8.
 
 Null texts are each alone, and so are texts without a word unless they are equal. Null
 ids take part and never name a class that has another id. No row is dropped, repeated
@@ -26,7 +26,7 @@ rows are repeated in the result, no rows give no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,17 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm.components import components
 from ledgerlake.llm.hashing import Powers, WordHashes, mix, windows
-from ledgerlake.llm.store import write_table
+from ledgerlake.llm.store import bounded_batches, release, write_table
 
 BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
 SHINGLE = 5
 THRESHOLD = 0.8
 #: Share of equal components under which a pair isn't verified.
-FLOOR = 0.6
-_CHUNK = 1 << 19
+FLOOR = 0.64
+_CHUNK = 1 << 18
+#: Bits of the map of wanted nodes; 8 MB.
+BITMAP = 1 << 26
 
 
 def shingles(text: str, hashes: WordHashes, powers: Powers) -> np.ndarray:
@@ -122,13 +124,14 @@ def sketch(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             if todo:
                 flush(todo, sigs)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["doc", "node", "sig"])
+        release()
 
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc"), F.col(f"`{text}`").alias("text"))
     return rows.mapInArrow(run, T.StructType([T.StructField("doc", rows.schema["doc"].dataType), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType())]))
 
 
 def band_rows(nodes: DataFrame) -> DataFrame:
-    """(band, node): a band's number and components, hashed to 64 bits."""
+    """(i, band, node): the number of a band, and it with its components in 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64))
@@ -137,9 +140,11 @@ def band_rows(nodes: DataFrame) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u8").reshape(-1, BANDS)
             bands = mix(sig ^ salt).view(np.int64).reshape(-1)
-            yield pa.RecordBatch.from_arrays([pa.array(bands), batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))], ["band", "node"])
+            numbers = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+            nodes = batch.column("node").take(pa.array(np.repeat(np.arange(batch.num_rows), BANDS)))
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), pa.array(bands), nodes], ["i", "band", "node"])
 
-    return nodes.select("node", "sig").mapInArrow(run, "band long, node binary")
+    return nodes.select("node", "sig").mapInArrow(run, "i int, band long, node binary")
 
 
 def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,17 +164,34 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def bitmap(places: DataFrame) -> np.ndarray:
+    """Bits at ``place``, ``BITMAP`` of them however many rows there are: what isn't set is
+    surely not among them."""
+    place = F.col("place")
+    words = places.select(F.shiftright(place, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(63).cast("int")).alias("b"))
+    out = np.zeros(BITMAP // 64, np.int64)
+    got = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    out[got["w"].to_numpy(np.int64)] = got["b"].to_numpy(np.int64)
+    return out
+
+
 def multisets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(node, shingled) of the ``wanted`` nodes, once each."""
+    """(node, shingled) of the ``wanted`` nodes, once each. A bitmap of fixed size spares
+    most other texts the work; the join leaves out the rest."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("bigint").bitwiseAND(BITMAP - 1).alias("place"))))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, powers = WordHashes(), Powers()
         for batch in batches:
             nodes, sets = [], []
             for t in batch.column(0).to_pylist():
-                nodes.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
-                sets.append(multiset(shingles(t, hashes, powers)).tobytes())
+                node = xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass"))
+                place = int.from_bytes(node[:4], "big") & (BITMAP - 1)
+                if bits.value[place >> 6] >> (place & 63) & 1:
+                    nodes.append(node)
+                    sets.append(multiset(shingles(t, hashes, powers)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(sets, pa.binary())], ["node", "shingled"])
+        release()
 
     texts = docs.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     made = texts.mapInArrow(keyed, "node binary, shingled binary").filter(F.length("shingled") > 0)
@@ -179,13 +201,18 @@ def multisets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """For each row its ``doc_id``, ``text_id`` (smallest id with an equal text) and
     ``class_id`` (smallest id that links of similar texts lead to)."""
+    bounded_batches(docs.sparkSession)
     sketched = write_table(sketch(docs, doc_id, text), "sketch")
     nodes = write_table(sketched.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc").alias("text_id"), F.first("sig").alias("sig")), "nodes")
     bands = band_rows(nodes.filter("sig IS NOT NULL"))
-    shared = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("band")
-    members = write_table(bands.join(shared, "band", "left_semi"), "members")
-    sets = write_table(multisets(docs, text, members.select("node").distinct()), "sets")
-    empty = members.sparkSession.createDataFrame([], "a binary, b binary")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi")
+    members = bands.join(shared.select("band", "n"), "band")
+    # Nodes that share a bucket, with their bands by number and how large their buckets are.
+    own = write_table(members.groupBy("node").agg(F.sum("n").alias("central"), F.map_from_entries(F.collect_list(F.struct("i", "band"))).alias("bands")), "own")
+    wanted = own.select("node")
+    sets = write_table(multisets(docs, text, wanted), "sets")
+    sigs = write_table(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "sigs")
+    empty = own.sparkSession.createDataFrame([], "a binary, b binary")
     links, tried, roots = empty, empty, None
 
     def rooted(rows: DataFrame, column: str, out: str) -> DataFrame:
@@ -194,38 +221,49 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         named = roots.select(F.col("node").alias(column), F.col("root").alias("_r"))
         return rows.join(named, column, "left").withColumn(out, F.coalesce("_r", F.col(column))).drop("_r")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("shingled").alias(f"set_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        return write_table(both.select("a", "b", "set_a", "set_b").mapInArrow(_overlap, "a binary, b binary, similarity double"), "verified")
+    def beside(pairs: DataFrame, things: DataFrame, column: str, out: str, made: Callable, schema: str) -> DataFrame:
+        """``made`` over pairs and what ``things`` hold of both. Few pairs are sent to the
+        things, which then stay where they are."""
+        side = lambda x: things.join(pairs.withColumn("node", F.col(x)), "node").select("a", "b", F.col(column).alias(f"{out}_{x}"))
+        return side("a").join(side("b"), ["a", "b"]).select("a", "b", f"{out}_a", f"{out}_b").mapInArrow(made, schema)
+
+    def link(pairs: DataFrame) -> int:
+        """Verify the likely ones of ``pairs``; how many are links."""
+        nonlocal links, tried, roots
+        agreed = beside(pairs, sigs, "sig", "sig", _agree, "a binary, b binary, share double")
+        likely = write_table(agreed.filter(F.col("share") >= FLOOR).select("a", "b"), "likely")
+        checked = write_table(beside(likely, sets, "shingled", "set", _overlap, "a binary, b binary, similarity double"), "verified")
+        tried = tried.unionByName(likely)
+        new = checked.filter(F.col("similarity") >= threshold).select("a", "b")
+        n = new.count()
+        if n:
+            links = links.unionByName(new)
+            roots = write_table(components(links), "roots")
+        return n
 
     draw = 0
     while True:
-        own = write_table(rooted(members, "node", "root"), "own")
-        mark = F.xxhash64("node", "band", F.lit(draw))
-        leaders = own.groupBy("band").agg(F.min_by(F.struct("node", "root"), mark).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        pairs = own.join(leaders, "band").filter(F.col("root") != F.col("l.root")).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        side = lambda x: nodes.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}"))
-        agreed = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sig_a", "sig_b").mapInArrow(_agree, "a binary, b binary, share double")
-        likely = write_table(agreed.filter(F.col("share") >= FLOOR), "likely")
-        found = 0
-        for part in ("best", "rest"):
-            if part == "best":  # the likeliest pair of each node decides most of the others
-                todo = likely.groupBy("b").agg(F.max_by("a", "share").alias("a")).select("a", "b")
-            else:
-                open_ = rooted(rooted(likely.select("a", "b"), "a", "ra"), "b", "rb").filter("ra <> rb").select("a", "b")
-                todo = open_.join(tried, ["a", "b"], "left_anti")
-            checked = verify(todo)
-            tried = tried.unionByName(checked.select("a", "b"))
-            new = checked.filter(F.col("similarity") >= threshold).select("a", "b")
-            n = new.count()
-            if n:
-                found += n
-                links = links.unionByName(new)
-                roots = write_table(components(links), "roots")
+        # At first buckets are bands, and the most central member leads, from whose text
+        # the others were made if any was. Later they are pairs of bands, which tell texts
+        # apart better, and members without a link lead, by chance.
+        if draw == 0:
+            keys, mark = F.map_values("bands"), F.struct("central", F.xxhash64("node"))
+        else:
+            step = (draw - 1) % (BANDS - 1) + 1
+            other = lambda i: F.try_element_at("bands", (i + step) % BANDS)  # noqa: B023, E731
+            keys = F.transform(F.map_keys("bands"), lambda i: F.when(other(i).isNotNull(), F.xxhash64(F.element_at("bands", i), other(i))))
+            mark = F.struct(F.col("root") == F.col("node"), F.xxhash64("node", "key", F.lit(draw)))
+        rows = rooted(own, "node", "root").select("node", "root", "central", F.explode(keys).alias("key")).filter("key IS NOT NULL")
+        leaders = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), mark).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        pairs = rows.join(leaders, "key").filter(F.col("root") != F.col("l.root")).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
+        pairs = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = link(pairs)
+        if draw == 0:  # nodes whose bands each hold one component now have no link to gain
+            again = rooted(own, "node", "root").select("node", "root", F.explode(F.map_values("bands")).alias("band"))
+            still = again.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
+            own = write_table(own.join(again.join(still, "band", "left_semi").select("node").distinct(), "node", "left_semi"), "own")
         draw += 1
-        if not found:
+        if not found and draw > 1:
             break
     ids = rooted(nodes.select("node", "text_id"), "node", "root")
     classes = ids.groupBy("root").agg(F.min("text_id").alias("class_id"))
