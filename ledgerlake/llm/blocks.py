@@ -19,13 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 8 << 20
+from ledgerlake.llm.store import bounded_batches, release
 
 
-def pack_table(batch: pa.RecordBatch | pa.Table, level: int = 3) -> bytes:
+def pack_table(table: pa.Table, level: int = 3) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
-        out.write(batch)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", level))) as out:
+        out.write(table)
     return sink.getvalue().to_pybytes()
 
 
@@ -51,23 +51,35 @@ def text_bytes(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).head()[0] or 0
 
 
-def make_blocks(docs: DataFrame, text: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def make_blocks(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
     """Rows (block, data), dealt out by block: ``data`` holds rows of ``docs``. A block's
     number is its input partition and its place there, so a lost one is made anew alike."""
 
+    bounded_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, k = TaskContext.get().partitionId(), 0
+        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def block() -> pa.RecordBatch:
+            data = pack_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_pydict({"block": [part << 32 | k], "data": [data]}, pa.schema([("block", pa.int64()), ("data", pa.binary())]))
+
         for batch in batches:
-            sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64)
-            ends, start = np.cumsum(sizes), 0
+            ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), np.int64))
+            start = 0
             while start < batch.num_rows:
                 done = ends[start - 1] if start else 0
-                stop = max(start + 1, int(np.searchsorted(ends, done + block_bytes, "right")))
-                piece = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_pydict(
-                    {"block": [part << 32 | k], "data": [pack_table(piece)]}, pa.schema([("block", pa.int64()), ("data", pa.binary())])
-                )
-                start, k = stop, k + 1
+                stop = max(start + 1, int(np.searchsorted(ends, done + block_bytes - size, "right")))
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1] - done)
+                if stop < batch.num_rows or size >= block_bytes:
+                    yield block()
+                    k, held, size = k + 1, [], 0
+                start = stop
+        if held:
+            yield block()
+        held = []
+        release()
 
     return docs.mapInArrow(run, "block long, data binary").repartition("block")
 
@@ -88,13 +100,17 @@ def exchange(
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
                 for bucket, message in emit(unpack_table(data.as_py())):
                     yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [block], "data": [message]}, sent)
+            release()
 
     def answer(table: pa.Table) -> pa.Table:
-        return pa.table({"bucket": table["bucket"], "block": table["block"], "data": pa.array(reduce(table["data"].to_pylist()), pa.binary())})
+        out = pa.table({"bucket": table["bucket"], "block": table["block"], "data": pa.array(reduce(table["data"].to_pylist()), pa.binary())})
+        release()
+        return out
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True))
         out = [finish(unpack_table(x.as_py()), answers) for x in left["data"]]
+        release()
         return pa.concat_tables(out)
 
     kept = "bucket int, block long, data binary"

@@ -12,21 +12,23 @@ repeated rows, ties and null ids of documents stay as they are; no row is droppe
 from __future__ import annotations
 
 import base64
-import heapq
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tiktoken
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.llm import blocks as B
+from ledgerlake.llm.store import release
 
-#: Bytes of text for each bucket of pre-tokens.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each block and for each bucket of pre-tokens.
+BLOCK_BYTES, BUCKET_BYTES = 5 << 20, 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -35,30 +37,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
-    if (rank := ranks.get(piece)) is not None:
-        return [rank]
-    n = len(piece)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    end = list(range(1, n + 1))
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
-    heapq.heapify(heap)
-    alive = [True] * n
-    while heap:
-        _, i, stop = heapq.heappop(heap)
-        if not alive[i] or after[i] >= n or end[after[i]] != stop:
-            continue
-        j = after[i]
-        alive[j] = False
-        end[i], after[i] = end[j], after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (r := ranks.get(piece[i : end[after[i]]])) is not None:
-                heapq.heappush(heap, (r, i, end[after[i]]))
-        if (p := before[i]) >= 0 and (r := ranks.get(piece[p : end[i]])) is not None:
-            heapq.heappush(heap, (r, p, end[i]))
-    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+@functools.cache
+def _encoder(ranks: tuple[tuple[bytes, int], ...], pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=dict(ranks), special_tokens={})
+
+
+def ragged(flat: np.ndarray, offsets: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists number ``at`` of a list array, one after the other, and their ends."""
+    starts, lengths = offsets[at], offsets[at + 1] - offsets[at]
+    ends = np.cumsum(lengths, dtype=np.int64)
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(at) else 0)], ends
 
 
 class _Numbers(dict):
@@ -74,25 +62,25 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(load_ranks(ranks_path))
     n_buckets = B.text_bytes(docs, text) // BUCKET_BYTES + 1
-    blocks = B.make_blocks(docs, text)
+    blocks = B.make_blocks(docs, text, BLOCK_BYTES)
     out = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def pieces(table: pa.Table) -> tuple[list[np.ndarray], list[list[str]], np.ndarray]:
-        """The pre-tokens of each document as numbers; the distinct ones of each bucket,
-        sorted; the place of each number in their sequence."""
+        """The pre-tokens of each document as numbers; the distinct ones of each bucket, in
+        order of first use; the place of each number in the buckets' sequence."""
         find, numbers = regex.compile(pattern).findall, _Numbers()
         each = []
         for x in table[text]:
             words = find(x.as_py() or "")
             each.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-        by: list[list[str]] = [[] for _ in range(n_buckets)]
-        for w in numbers:
-            by[xxhash.xxh3_64_intdigest(w.encode()) % n_buckets].append(w)
-        for x in by:
-            x.sort()
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % n_buckets for w in numbers), np.int64, len(numbers))
+        order = np.argsort(bucket, kind="stable")
         place = np.empty(len(numbers), np.int64)
-        place[[numbers[w] for words in by for w in words]] = np.arange(len(numbers))
-        return each, by, place
+        place[order] = np.arange(len(numbers))
+        words = list(numbers)
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1)).tolist()
+        sorted_ = order.tolist()
+        return each, [[words[i] for i in sorted_[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], place
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         for k, words in enumerate(pieces(table)[1]):
@@ -100,17 +88,16 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
                 yield k, B.pack_table(pa.table({"w": pa.array(words, pa.string())}))
 
     def reduce(messages: list[bytes]) -> list[bytes]:
-        known: dict[str, list[int]] = {}
+        sent = [B.unpack_table(m)["w"] for m in messages]
+        words = pa.chunked_array([c for x in sent for c in x.chunks], pa.string()).combine_chunks().dictionary_encode()
+        encode_one = _encoder(tuple(ranks.value.items()), pattern).encode_ordinary
+        each = [encode_one(w) for w in words.dictionary.to_pylist()]
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))])
+        flat = np.fromiter((i for x in each for i in x), np.uint64, offsets[-1])
         answers = []
-        for m in messages:
-            each = []
-            for w in B.unpack_table(m)["w"].to_pylist():
-                if (x := known.get(w)) is None:
-                    x = known[w] = encode_piece(w.encode(), ranks.value)
-                each.append(x)
-            flat = np.fromiter((i for x in each for i in x), np.uint64)
-            lengths = np.fromiter(map(len, each), np.uint64, len(each))
-            answers.append(B.pack_table(pa.table({"n": [B.pack_ints(lengths)], "ids": [B.pack_ints(flat)]})))
+        for at in np.split(np.asarray(words.indices), np.cumsum([len(x) for x in sent])[:-1]):
+            ids, ends = ragged(flat, offsets, at)
+            answers.append(B.pack_table(pa.table({"n": [B.pack_ints(np.diff(ends, prepend=0).astype(np.uint64))], "ids": [B.pack_ints(ids)]})))
         return answers
 
     def finish(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
@@ -119,9 +106,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", i
         of = lambda name: np.concatenate([np.empty(0, np.uint64), *(B.unpack_ints(x[name]) for x in got)]).astype(np.int64)
         offsets, flat = np.concatenate([[0], np.cumsum(of("n"))]), of("ids").astype(np.int32)
         at = place[np.concatenate([np.empty(0, np.int32), *each])]
-        starts, lengths = offsets[at], offsets[at + 1] - offsets[at]
-        ends = np.cumsum(lengths, dtype=np.int64)
-        ids_out = flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(at) else 0)]
+        ids_out, ends = ragged(flat, offsets, at)
         words_to = np.cumsum([0] + [len(x) for x in each])
         doc_to = np.concatenate([[0], ends])[words_to].astype(np.int32)
         rest = table.drop_columns([text])
@@ -144,6 +129,7 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded
             valid = column.is_valid().to_pylist()
             made = [b"".join(map(token, flat[a:b].tolist())) if ok else None for a, b, ok in zip(offsets[:-1], offsets[1:], valid, strict=True)]
             yield batch.append_column(out, pa.array(made, pa.binary()))
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.store import bounded_batches
+from ledgerlake.llm.store import bounded_batches, release
 
 N_FEATURES = 1 << 14
 ORDERS = 4
@@ -144,5 +144,6 @@ def predict(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFra
                     if ok:
                         pred[a + i], score[a + i] = classes[k], float(p[i, k])
             yield batch.append_column("lang_pred", pa.array(pred, pa.string())).append_column("score", pa.array(score, pa.float64()))
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 from ledgerlake.llm import blocks as B
 from ledgerlake.llm.hashing import Powers, WordHashes, bucket_of, mix, windows
 
-#: N-grams for each bucket, roughly.
-BUCKET_GRAMS = 1_500_000
+#: Bytes of text for each block, n-grams for each bucket, roughly.
+BLOCK_BYTES, BUCKET_GRAMS = 6 << 20, 1_500_000
 
 
 def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.4) -> DataFrame:
@@ -36,7 +36,7 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
     natural logarithm of the words' scores)."""
     n_bytes = B.text_bytes(docs, text)
     n_buckets = n_bytes * order // (6 * BUCKET_GRAMS) + 1
-    blocks = B.make_blocks(docs, text)
+    blocks = B.make_blocks(docs, text, BLOCK_BYTES)
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("lm_score", T.DoubleType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + extra)
     hashes, powers = WordHashes(), Powers()

@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from ledgerlake.llm import blocks as B
 from ledgerlake.llm.hashing import Powers, WordHashes, bucket_of, windows
 
-#: Phrases for each bucket.
-BUCKET_PHRASES = 1_000_000
+#: Bytes of text for each block, phrases for each bucket.
+BLOCK_BYTES, BUCKET_PHRASES = 4 << 20, 1_000_000
 _LAST = np.iinfo(np.int64).max
 
 
@@ -45,18 +45,21 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
     factors, in word positions), ``n_removed`` LONG (words that they cover) and ``kept``
     STRING (the other words, joined by a space)."""
     n_buckets = B.text_bytes(docs, text) // (6 * BUCKET_PHRASES) + 1
-    blocks = B.make_blocks(docs, text)
+    blocks = B.make_blocks(docs, text, BLOCK_BYTES)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("words", T.LongType())])
     extra = [T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())]
     schema = T.StructType([*docs.schema.fields, *extra])
     hashes, powers = WordHashes(), Powers()
 
-    def index(table: pa.Table) -> tuple[list[list[bytes]], np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    def index(table: pa.Table, keep: bool = False) -> tuple[list[list[bytes]], np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
         """Words and phrase hashes of each document, the block's distinct phrases and the
         smallest document id of each, in a fixed order of bucket and hash."""
         ids = np.array([_LAST if x is None else x for x in table[doc_id].to_pylist()], np.int64)
-        words = [x.encode("utf-8", "surrogatepass").split() if x else [] for x in table[text].to_pylist()]
-        each = [windows(hashes.of(x), width, powers) for x in words]
+        words, each = [], []
+        for x in table[text]:
+            w = (x.as_py() or "").encode("utf-8", "surrogatepass").split()
+            each.append(windows(hashes.of(w), width, powers))
+            words.append(w if keep else [])
         flat = np.concatenate(each) if each else np.empty(0, np.uint64)
         owner = np.repeat(ids, [len(x) for x in each])
         order = np.argsort(flat)
@@ -95,7 +98,7 @@ def parse(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: in
         return [np.packbits(x).tobytes() for x in np.split(earlier, np.cumsum([len(k) for k in keys])[:-1])]
 
     def finish(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
-        words, ids, each, keys, smallest = index(table)
+        words, ids, each, keys, smallest = index(table, keep=True)
         cuts = np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))
         earlier = np.zeros(len(keys), bool)
         for k, bits in answers.items():

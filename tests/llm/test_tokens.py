@@ -3,8 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 from ledgerlake.llm import bpe, queries
@@ -18,12 +20,19 @@ def oracle():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
 
 
-def test_pieces_as_the_library(oracle):
+def test_ragged_lists():
+    flat, offsets = np.array([1, 2, 3, 4, 5, 6]), np.array([0, 1, 1, 4, 6])
+    ids, ends = bpe.ragged(flat, offsets, np.array([3, 1, 0, 2, 3]))
+    assert ids.tolist() == [5, 6, 1, 2, 3, 4, 5, 6] and ends.tolist() == [2, 2, 3, 6, 8]
+    assert bpe.ragged(flat, offsets, np.array([], int))[0].tolist() == []
+
+
+def test_pieces_alone_stay_pieces(oracle):
     r = random.Random(1)
-    for n in (1, 2, 3, 7, 40, 400, 3000):
-        for letters in ("ab", "abcdefghij ", "\x00\xff\n é漢🙂"):
-            piece = "".join(r.choice(letters) for _ in range(n)).encode()
-            assert bpe.encode_piece(piece, RANKS) == oracle._encode_single_piece(piece)
+    for _ in range(300):
+        text = "".join(r.choice("ab'sd 's12²  \n\t\u2003.!é漢🙂\u0301\x1c") for _ in range(60))
+        pieces = regex.findall(public_tokenizers.PATTERN, text)
+        assert sum((oracle.encode_ordinary(p) for p in pieces), []) == oracle.encode_ordinary(text)
 
 
 def test_encode_and_decode(spark, oracle):
