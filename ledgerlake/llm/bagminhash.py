@@ -14,10 +14,13 @@ Equal texts are one node. Signatures are cut into ``BANDS`` of four components;
 with an equal band share a bucket. A bucket names a leader, the member whose buckets are
 largest, and every other is its candidate. Candidates whose signatures agree in too few
 components to come from similar texts (``FLOOR``, 4.5 standard deviations below the
-threshold) are left; the multiset overlap of all others is verified. Verified links join
-components; then buckets, now of pairs of bands, that hold several components draw leaders
-by chance, until a draw finds no new link. So a bucket of k members costs k candidates a
-draw, not k*k. At similarity 0.8 a pair shares no band with a probability of 5e-8.
+threshold) are put off; the multiset overlap of all others is verified. Verified links
+join components. Then every bucket that still holds several is compared exactly: the
+overlap of each two members of different components, whatever their signatures, in blocks
+of bounded size. So most buckets cost k candidates, and only what is left costs up to k*k
+comparisons, which stay inside their block: of its links it gives a spanning forest. No
+pair that shares a band is passed over; at similarity 0.8 a pair shares none with a
+probability of 5e-8.
 
 Null texts are each alone, and so are texts without a word unless they are equal. Null
 ids take part and never name a class that has another id. No row is dropped, repeated
@@ -43,8 +46,10 @@ BANDS, ROWS = 32, 4
 COMPONENTS = BANDS * ROWS
 SHINGLE = 5
 THRESHOLD = 0.8
-#: Share of equal components under which a pair isn't verified.
+#: Share of equal components under which a leader's candidate is put off to the blocks.
 FLOOR = 0.64
+#: Members of a part of a bucket and bytes of their multisets; a block holds two parts.
+PART, PART_BYTES = 1000, 4 << 20
 _CHUNK = 1 << 18
 #: Bits of the map of wanted nodes; 8 MB.
 BITMAP = 1 << 26
@@ -164,6 +169,68 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "similarity"])
 
 
+def spanning(roots: list[bytes], sets: list[np.ndarray], left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[bytes, bytes]]:
+    """A spanning forest of the links between members ``left`` and ``right`` (None: among
+    ``left``) of different roots, as pairs of roots."""
+    label = np.unique(roots, return_inverse=True)[1]
+    if (label == label[0]).all():
+        return
+    sizes = np.array([len(x) for x in sets])
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    places = np.split(flat, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(values), bool)
+    left = left[np.argsort(sizes[left], kind="stable")]
+    others = left if right is None else right[np.argsort(sizes[right], kind="stable")]
+    # Of sets further apart in size than the threshold the overlap can't reach it.
+    first = np.arange(1, len(left) + 1) if right is None else np.searchsorted(sizes[others], threshold * sizes[left] - 1e-6)
+    last = np.searchsorted(threshold * sizes[others], sizes[left] + 1e-6, "right")
+    for a, lo, hi in zip(left.tolist(), first.tolist(), last.tolist(), strict=True):
+        near = others[lo:hi]
+        near = near[label[near] != label[a]]
+        if not len(near):
+            continue
+        mark[places[a]] = True
+        starts = np.cumsum(sizes[near]) - sizes[near]
+        same = np.add.reduceat(mark[np.concatenate([places[b] for b in near.tolist()])], starts, dtype=np.int64)
+        mark[places[a]] = False
+        for b in near[same / (sizes[a] + sizes[near] - same) >= threshold].tolist():
+            if label[b] != label[a]:
+                label[label == label[b]] = label[a]
+                yield roots[a], roots[b]
+
+
+def compare(members: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links of roots in the blocks (band, p, q) of ``members`` (band, p, q, part,
+    root, shingled); part p meets part q, or itself."""
+
+    def of_block(rows: list[dict]) -> list[tuple[bytes, bytes]]:
+        part = np.array([x["part"] for x in rows])
+        p, q = rows[0]["p"], rows[0]["q"]
+        left, right = np.flatnonzero(part == p), np.flatnonzero(part == q) if p != q else None
+        if not len(left) or (right is not None and not len(right)):
+            return []
+        return list(spanning([x["root"] for x in rows], [np.frombuffer(x["shingled"], "<u4") for x in rows], left, right, threshold))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        found: list[tuple[bytes, bytes]] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (key := (row["band"], row["p"], row["q"])) != block:
+                    found += of_block(held) if held else []
+                    block, held = key, []
+                held.append(row)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+                found = []
+        if held and (found := of_block(held)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*found, strict=True)], ["a", "b"])
+        release()
+
+    blocks = members.select("band", "p", "q", "part", "root", "shingled").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    return blocks.mapInArrow(run, "a binary, b binary")
+
+
 def bitmap(places: DataFrame) -> np.ndarray:
     """Bits at ``place``, ``BITMAP`` of them however many rows there are: what isn't set is
     surely not among them."""
@@ -212,8 +279,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = own.select("node")
     sets = write_table(multisets(docs, text, wanted), "sets")
     sigs = write_table(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "sigs")
-    empty = own.sparkSession.createDataFrame([], "a binary, b binary")
-    links, tried, roots = empty, empty, None
+    roots = None
 
     def rooted(rows: DataFrame, column: str, out: str) -> DataFrame:
         if roots is None:
@@ -227,44 +293,29 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         side = lambda x: things.join(pairs.withColumn("node", F.col(x)), "node").select("a", "b", F.col(column).alias(f"{out}_{x}"))
         return side("a").join(side("b"), ["a", "b"]).select("a", "b", f"{out}_a", f"{out}_b").mapInArrow(made, schema)
 
-    def link(pairs: DataFrame) -> int:
-        """Verify the likely ones of ``pairs``; how many are links."""
-        nonlocal links, tried, roots
-        agreed = beside(pairs, sigs, "sig", "sig", _agree, "a binary, b binary, share double")
-        likely = write_table(agreed.filter(F.col("share") >= FLOOR).select("a", "b"), "likely")
-        checked = write_table(beside(likely, sets, "shingled", "set", _overlap, "a binary, b binary, similarity double"), "verified")
-        tried = tried.unionByName(likely)
-        new = checked.filter(F.col("similarity") >= threshold).select("a", "b")
-        n = new.count()
-        if n:
-            links = links.unionByName(new)
-            roots = write_table(components(links), "roots")
-        return n
-
-    draw = 0
-    while True:
-        # At first buckets are bands, and the most central member leads, from whose text
-        # the others were made if any was. Later they are pairs of bands, which tell texts
-        # apart better, and members without a link lead, by chance.
-        if draw == 0:
-            keys, mark = F.map_values("bands"), F.struct("central", F.xxhash64("node"))
-        else:
-            step = (draw - 1) % (BANDS - 1) + 1
-            other = lambda i: F.try_element_at("bands", (i + step) % BANDS)  # noqa: B023, E731
-            keys = F.transform(F.map_keys("bands"), lambda i: F.when(other(i).isNotNull(), F.xxhash64(F.element_at("bands", i), other(i))))
-            mark = F.struct(F.col("root") == F.col("node"), F.xxhash64("node", "key", F.lit(draw)))
-        rows = rooted(own, "node", "root").select("node", "root", "central", F.explode(keys).alias("key")).filter("key IS NOT NULL")
-        leaders = rows.groupBy("key").agg(F.max_by(F.struct("node", "root"), mark).alias("l"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        pairs = rows.join(leaders, "key").filter(F.col("root") != F.col("l.root")).select(F.least("node", "l.node").alias("a"), F.greatest("node", "l.node").alias("b")).distinct()
-        pairs = write_table(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = link(pairs)
-        if draw == 0:  # nodes whose bands each hold one component now have no link to gain
-            again = rooted(own, "node", "root").select("node", "root", F.explode(F.map_values("bands")).alias("band"))
-            still = again.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("band")
-            own = write_table(own.join(again.join(still, "band", "left_semi").select("node").distinct(), "node", "left_semi"), "own")
-        draw += 1
-        if not found and draw > 1:
-            break
+    # The most central member leads, from whose text the others were made if any was.
+    rows = own.select("node", "central", F.explode(F.map_values("bands")).alias("band"))
+    leaders = rows.groupBy("band").agg(F.max_by("node", F.struct("central", F.xxhash64("node"))).alias("l"))
+    pairs = rows.join(leaders, "band").filter("node <> l").select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b")).distinct()
+    agreed = beside(write_table(pairs, "pairs"), sigs, "sig", "sig", _agree, "a binary, b binary, share double")
+    likely = write_table(agreed.filter(F.col("share") >= FLOOR).select("a", "b"), "likely")
+    checked = beside(likely, sets, "shingled", "set", _overlap, "a binary, b binary, similarity double")
+    links = write_table(checked.filter(F.col("similarity") >= threshold).select("a", "b"), "links")
+    if not links.isEmpty():
+        roots = write_table(components(links), "roots")
+
+    # Buckets of several components, one of those with the same members.
+    sized = rooted(own, "node", "root").join(sets.select("node", F.length("shingled").alias("size")), "node")
+    rows = write_table(sized.select("node", "root", "size", F.explode(F.map_values("bands")).alias("band")), "members")
+    still = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.max("node").alias("last"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND((1 << 31) - 1)).alias("y")).filter("lo <> hi")
+    parts = F.ceil(F.greatest(F.col("n") / PART, F.col("bytes") / PART_BYTES))
+    still = still.groupBy("n", "bytes", "first", "last", "x", "y").agg(F.min("band").alias("band")).select("band", parts.cast("int").alias("parts"))
+    members = rows.join(still, "band").withColumn("part", F.pmod(F.xxhash64("node", "band"), F.col("parts")).cast("int"))
+    blocks = members.join(sets, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = blocks.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")})
+    more = write_table(compare(blocks, threshold), "links")
+    if not more.isEmpty():
+        roots = write_table(components(links.unionByName(more)), "roots")
     ids = rooted(nodes.select("node", "text_id"), "node", "root")
     classes = ids.groupBy("root").agg(F.min("text_id").alias("class_id"))
     named = ids.join(classes, "root").select("node", "text_id", "class_id")

@@ -139,6 +139,57 @@ def test_near_duplicates_against_all_pairs(spark):
     assert made == brute_classes(rows, 0.8)
 
 
+def planted_group(n: int, first: int = 0) -> tuple[list[tuple], dict[int, int]]:
+    """Texts of one base whose similarity is mostly just under 0.8 and seldom just over it,
+    and their classes by comparing all pairs."""
+    r, base = random.Random(3), words(300, 77).split()
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for k in r.sample(range(len(w)), 5):
+            w[k] = f"edit{r.randrange(10**9)}"
+        rows.append((first + i, " ".join(w)))
+    known: dict[tuple, int] = {}
+    held = [[known.setdefault(g, len(known)) for g in weights(t)] for _, t in rows]
+    m = np.zeros((n, len(known)), np.float32)
+    for row, at in zip(m, held, strict=True):
+        row[at] = 1
+    size, m = m.sum(1), m[:, m.sum(0) > 1]
+    same = m @ m.T
+    near = same / (size[:, None] + size - same) >= 0.8
+    least = np.arange(n)
+    while (lower := np.array([least[x].min() for x in near])).tolist() != least.tolist():
+        least = lower
+    return rows, {first + i: first + int(k) for i, k in enumerate(least)}
+
+
+def test_large_group_around_the_threshold_against_all_pairs(spark):
+    rows, expected = planted_group(1500)
+    made = {x["doc_id"]: x["class_id"] for x in bagminhash.near_duplicates(docs(spark, rows).repartition(4)).collect()}
+    assert 1 < len(set(expected.values())) < len(rows) and made == expected
+
+
+def test_spanning_links_each_component_once():
+    r = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([np.arange(20), r.integers(100, 112, 6)])).astype(np.uint32) for _ in range(60)]
+    roots = [b"%02d" % (i // 2) for i in range(60)]
+    sides = np.arange(60) % 3 == 0
+    for left, right in [(np.arange(60), None), (np.flatnonzero(sides), np.flatnonzero(~sides))]:
+        root = {x: x for x in roots}
+
+        def find(x):
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
+            return x
+
+        for a in left:
+            for b in left if right is None else right:
+                if a != b and len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) >= 0.85:
+                    root[find(roots[a])] = find(roots[b])
+        found = list(bagminhash.spanning(roots, sets, left, right, 0.85))
+        assert len(found) == len(root) - len({find(x) for x in root}) and all(find(a) == find(b) for a, b in found)
+
+
 def test_near_duplicates_of_no_rows_and_of_nulls(spark):
     assert bagminhash.near_duplicates(docs(spark, ODD).filter("doc_id = -1")).count() == 0
     got = bagminhash.near_duplicates(docs(spark, [(1, None), (2, None), (3, ""), (4, "")])).collect()
