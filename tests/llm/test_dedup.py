@@ -190,6 +190,15 @@ def test_spanning_links_each_component_once():
         assert len(found) == len(root) - len({find(x) for x in root}) and all(find(a) == find(b) for a, b in found)
 
 
+def test_pairs_under_the_floor_are_verified(spark, monkeypatch):
+    monkeypatch.setattr(bagminhash, "FLOOR", 1.5)
+    monkeypatch.setattr(bagminhash, "PART", 7, raising=False)
+    r, base = random.Random(6), words(200, 4)
+    rows = [(i, edited(base, i % 4, r)) for i in range(40)] + [(100 + i, words(120, 60 + i)) for i in range(5)]
+    made = sorted((x["doc_id"], x["class_id"]) for x in bagminhash.near_duplicates(docs(spark, rows)).collect())
+    assert made == brute_classes(rows, 0.8)
+
+
 def test_near_duplicates_of_no_rows_and_of_nulls(spark):
     assert bagminhash.near_duplicates(docs(spark, ODD).filter("doc_id = -1")).count() == 0
     got = bagminhash.near_duplicates(docs(spark, [(1, None), (2, None), (3, ""), (4, "")])).collect()
