@@ -14,7 +14,7 @@ import tiktoken
 
 from ledgerlake.llm import bpe, queries
 from tests.llm.helpers import sample, words
-from tests.llm.test_dedup import brute_classes, brute_spans, edited
+from tests.llm.test_dedup import brute_classes, brute_spans, edited, planted_group
 from tests.llm.test_others import WORD, brute_hits, lowered
 
 BENCH = [(1, words(20, 901)), (2, words(25, 902)), (3, "tiny item")]
@@ -88,3 +88,13 @@ def test_entry_lists_all(spark):
     names = set(__spark_entry__.queries())
     assert {"pipeline", *queries.QUERIES} <= names and len(queries.QUERIES) == 10
     assert set(__spark_entry__.oracle_sql()) <= names
+
+
+def documents(spark, rows: list[tuple]):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def test_near_dedup_of_a_large_group_around_the_threshold(spark):
+    rows, classes = planted_group(1200, 7)
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows).repartition(4), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(classes.values()))
