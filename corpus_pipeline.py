@@ -21,12 +21,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the smallest id stays, once if
-    its row is repeated. Documents without an id stay."""
-    found = bagminhash.near_duplicates(docs)
-    keep = found.filter("doc_id = class_id").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS, F.xxhash64("text").alias("h"))
-    once = rows.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
-    return once.unionByName(rows.filter("doc_id IS NULL")).select(COLUMNS)
+    its row is repeated. Documents without an id come after all others, and of texts with
+    one id that with the smallest hash comes first. Null texts without an id stay."""
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0).cast("bigint")).alias("id"), F.coalesce(F.md5("text"), F.lit("")).alias("h"))
+    found = bagminhash.near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    keep = found.filter("key = class_id").select("key.*").distinct()
+    rows = docs.select(*COLUMNS, key.alias("key")).select(*COLUMNS, "key.*")
+    once = rows.join(keep, ["no_id", "id", "h"], "left_semi").filter("NOT no_id OR text IS NOT NULL").dropDuplicates(["no_id", "id", "h"])
+    return once.unionByName(rows.filter("no_id AND text IS NULL")).select(COLUMNS)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,11 +42,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two or more benchmark items go; words inside a window of
-    one item are cut out."""
+    one item are cut out. Hits depend on the text alone, so they come back by its hash,
+    whatever the ids are."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.scan(docs.select("doc_id", "text"), benchmark).filter(F.size("hits") > 0).groupBy("doc_id").agg(F.max(F.size("items")).alias("n_items"), F.first("hits").alias("hits"))
+    scanned = decontaminate.scan(docs.select(F.md5("text").alias("h"), "text"), benchmark)
+    found = scanned.filter(F.size("hits") > 0).groupBy("h").agg(F.max(F.size("items")).alias("n_items"), F.first("hits").alias("hits"))
     found = write_table(found, "hits")
-    rows = docs.select(COLUMNS).join(found, "doc_id", "left").filter("n_items IS NULL OR n_items < 2")
+    rows = docs.select(*COLUMNS, F.md5("text").alias("h")).join(found, "h", "left").filter("n_items IS NULL OR n_items < 2")
     text = F.when(F.col("hits").isNotNull(), decontaminate.cut(F.col("text"), F.col("hits"))).otherwise(F.col("text"))
     rows = rows.withColumn("text", text)
     return rows.withColumn("n_chars", F.when(F.col("hits").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)

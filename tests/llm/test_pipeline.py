@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 
 from ledgerlake.llm import bpe, queries
-from tests.llm.helpers import sample, words
+from tests.llm.helpers import no, sample, words
 from tests.llm.test_dedup import brute_classes, brute_spans, edited, planted_group
 from tests.llm.test_others import WORD, brute_hits, lowered
 
@@ -98,3 +98,18 @@ def test_near_dedup_of_a_large_group_around_the_threshold(spark):
     rows, classes = planted_group(1200, 7)
     kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows).repartition(4), "").collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(classes.values()))
+
+
+def test_near_dedup_without_ids_and_of_equal_ids(spark):
+    r, a, b, c = random.Random(2), words(100, 1), words(100, 2), words(100, 3)
+    rows = [(None, a), (None, a), (None, edited(a, 1, r)), (5, b), (None, b), (3, c), (7, c), (7, "a text of its own")]
+    kept = [(x["doc_id"], x["text"]) for x in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()]
+    assert len(kept) == 4 and {(5, b), (3, c), (7, "a text of its own")} < set(kept)
+
+
+def test_decontamination_without_ids_and_of_equal_ids(spark, folder):
+    path, _ = folder
+    one, two = BENCH[0][1], BENCH[1][1]
+    rows = [(None, f"before {one} after"), (None, f"{one} and {two}"), (None, "clean"), (6, f"some words {two} end"), (6, f"{one} start"), (6, "clean as well")]
+    kept = corpus_pipeline.decontamination(spark, documents(spark, rows), path).collect()
+    assert sorted((no(x["doc_id"]), x["text"], x["n_chars"]) for x in kept) == sorted((no(i), t, len(t)) for i, t in [(None, "before after"), (None, "clean"), (6, "some words end"), (6, " start"), (6, "clean as well")])
