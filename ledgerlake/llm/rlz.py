@@ -1,14 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by the phrases of earlier documents, after relative Lempel-Ziv parsing.
 
 The reference of a document is every document with a smaller id, cut into blocks. Each
 block is indexed by the hash of every phrase of ``width`` consecutive words, with the
 smallest id that holds it; the indexes meet in buckets of the hash, so a document is
-factored against every block at once and yet only looks up its own phrases. The parse
-is greedy: the first word whose phrase the reference holds opens a factor, which takes
-one more word for as long as the phrase that ends there is held too. At the end of a
-factor the phrases that straddle the boundary are looked up as well, so a duplicate that
-begins inside one factor and ends behind it opens the next, overlapping factor. Factors
-have ``width`` words at least, and become the spans to remove. All else is literal.
+looked up in every block at once and yet only sends its own phrases. A factor is a run of
+phrases that the reference holds each, maybe in different documents; there are no
+positions in the reference, and the whole factor may occur in none. Factors have
+``width`` words at least, and become the spans to remove. All else is literal.
 
 Phrases are compared by 64-bit hashes: among n phrases, two different ones are taken for
 equal with probability below n**2 / 2**65.
@@ -35,7 +33,7 @@ _LAST = np.iinfo(np.int64).max
 
 
 def factors(held: np.ndarray, width: int) -> list[tuple[int, int]]:
-    """Greedy factors (first word, words) given which phrases the reference holds."""
+    """Runs of held phrases (first word, words) given which phrases the reference holds."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], held.astype(np.int8), [0]])))
     return [(int(a), int(b - a) + width - 1) for a, b in edges.reshape(-1, 2)]
 
