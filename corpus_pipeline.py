@@ -34,10 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of passages that an earlier document has are cut out; documents of which
     nothing stays go. Documents without such a passage keep their text as it is."""
-    parsed = rlz.parse(docs.select(COLUMNS))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
-    return parsed.filter("n_removed = 0 OR n_removed < n_words").withColumns({"text": text, "n_chars": n_chars}).select(COLUMNS)
+    parsed = rlz.parse(docs.select(COLUMNS), text_as="cut").filter("n_removed = 0 OR n_removed < n_words")
+    return parsed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with proof that they decode to its text."""
-    ids = bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
-    return bpe.decode(ids, RANKS).select("doc_id", "ids", *bpe.digest(ids))
+    return bpe.encode(docs.select("doc_id", "text"), RANKS, public_tokenizers.PATTERN, decoded="decoded").select("doc_id", "ids", *bpe.digest())
 
 
 STAGES = [

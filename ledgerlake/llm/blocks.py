@@ -2,14 +2,22 @@
 
 Documents are cut into blocks of a few MB, shuffled once; both uses below read that one
 exchange. Each block sends every distinct key (word, n-gram, window) once to the bucket
-of the key's hash; a bucket answers each block; the answers meet their block again. A key that a
-third of all rows hold is one entry for each block, so no bucket outgrows the others,
-and what a task holds is a block or a bucket, both of bounded size. Only a single text
-larger than a block makes a larger one.
+of the key's hash, all keys of a bucket in one row; a bucket answers each block that sent
+it something; the answers meet their block again. A key that a third of all rows hold is
+one entry for each block, so no bucket outgrows the others, and what a task holds is a
+block or a bucket, both of bounded size. Only a single text larger than a block makes a
+larger one.
+
+Rows grow with the input and not with blocks times buckets: nothing is sent to a bucket
+that a block has no key for, so there are at most as many rows as distinct keys of blocks,
+as in a join of plain rows. A row has no schema inside; its numbers are packed into one
+compressed run with five bytes for each array besides, so even a row of one key takes
+about what a plain row of the same numbers takes.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,18 +41,31 @@ def unpack_table(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(data).read_all()
 
 
-def pack_ints(x: np.ndarray, ascending: bool = False) -> bytes:
-    """Unsigned 64-bit values, as differences if ascending, byte planes compressed."""
-    if ascending and len(x):
-        x = np.diff(x, prepend=np.uint64(0))
-    planes = np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8).T)
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def unpack_ints(data: bytes, ascending: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
-    x = np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
-    return np.cumsum(x, dtype=np.uint64) if ascending else x
+def pack(*arrays: np.ndarray, ascending: int = 0, rest: bytes = b"") -> bytes:
+    """Arrays of unsigned numbers and some bytes as one run. Of each number the bytes that
+    the array needs are kept, plane by plane; the first ``ascending`` arrays as differences."""
+    head, body = [bytes([len(arrays)])], []
+    for i, x in enumerate(arrays):
+        x = np.ascontiguousarray(x, "<u8")
+        if i < ascending and len(x):
+            x = np.diff(x, prepend=np.uint64(0))
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        head.append(struct.pack("<IB", len(x), width))
+        body.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return zstandard.ZstdCompressor(1, write_content_size=True).compress(b"".join([*head, *body, rest]))
+
+
+def unpack(data: bytes, ascending: int = 0) -> tuple[list[np.ndarray], bytes]:
+    raw = zstandard.decompress(data)
+    at, out = 1 + 5 * raw[0], []
+    for i in range(raw[0]):
+        n, width = struct.unpack_from("<IB", raw, 1 + 5 * i)
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T
+        x = wide.view("<u8").reshape(-1)
+        out.append(np.cumsum(x, dtype=np.uint64) if i < ascending else x)
+        at += n * width
+    return out, raw[at:]
 
 
 def text_bytes(docs: DataFrame, text: str) -> int:
@@ -87,25 +108,25 @@ def make_blocks(docs: DataFrame, text: str, block_bytes: int) -> DataFrame:
 def exchange(
     blocks: DataFrame,
     emit: Callable[[pa.Table], Iterator[tuple[int, bytes]]],
-    reduce: Callable[[list[bytes]], list[bytes]],
+    reduce: Callable[[int, list[bytes]], list[bytes]],
     finish: Callable[[pa.Table, dict[int, bytes]], pa.Table],
     schema: str,
 ) -> DataFrame:
     """``emit`` gives a block's (bucket, message) pairs; ``reduce`` gets all messages of
     a bucket and answers each; ``finish`` gets a block's rows and its answers by bucket."""
-    sent = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("data", pa.binary())])
+    sent = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("data", pa.binary())])
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data"), strict=True):
-                for bucket, message in emit(unpack_table(data.as_py())):
-                    yield pa.RecordBatch.from_pydict({"bucket": [bucket], "block": [block], "data": [message]}, sent)
+                made = list(emit(unpack_table(data.as_py())))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in made], pa.int64()), pa.array([block] * len(made), pa.int64()), pa.array([m for _, m in made], pa.binary())], schema=sent)
             release()
 
     def answer(table: pa.Table) -> pa.Table:
-        out = pa.table({"bucket": table["bucket"], "block": table["block"], "data": pa.array(reduce(table["data"].to_pylist()), pa.binary())})
+        made = reduce(table["bucket"][0].as_py(), table["data"].to_pylist())
         release()
-        return out
+        return pa.table({"bucket": table["bucket"], "block": table["block"], "data": pa.array(made, pa.binary())})
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         answers = dict(zip(right["bucket"].to_pylist(), right["data"].to_pylist(), strict=True))
@@ -113,6 +134,6 @@ def exchange(
         release()
         return pa.concat_tables(out)
 
-    kept = "bucket int, block long, data binary"
+    kept = "bucket long, block long, data binary"
     answers = blocks.mapInArrow(send, kept).groupBy("bucket").applyInArrow(answer, kept)
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(meet, schema)

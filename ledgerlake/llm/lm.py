@@ -2,7 +2,8 @@
 
 The n-gram counts of all documents are tables partitioned by the n-gram's hash, one for
 each order; a block of documents sends its n-grams with their counts to the tables, and
-the totals are joined back to it and summed for each document. The score of a word is
+the totals are joined back to it by n-gram and summed for each document. The rows of both
+joins are packed, all n-grams that a block has for a partition in one, as ``blocks`` tells. The score of a word is
 the count of the longest n-gram that ends with it over the count of its context, with a
 factor ``alpha`` for each shorter length; a word that no other document has gets the
 share of one word. A document's own n-grams are left out of the counts it is scored
@@ -11,7 +12,9 @@ by, so a text isn't likely merely because it is in the corpus.
 N-grams are compared by 56 bits of a hash: of n different ones a given one is counted
 together with another with probability n / 2**56. Words are lower-cased, split at white space.
 Null texts and texts without a word have no words and a null score. Repeated rows are
-documents of their own and count as such. No row is dropped.
+documents of their own and count as such, ties of count don't matter. Texts of any length
+are scored whole. No row is dropped, no rows give no rows. A column of ``docs`` that has
+the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -25,19 +28,23 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm import blocks as B
 from ledgerlake.llm.hashing import Powers, WordHashes, bucket_of, mix, windows
+from ledgerlake.llm.store import without
 
 #: Bytes of text for each block, n-grams for each bucket, roughly.
 BLOCK_BYTES, BUCKET_GRAMS = 6 << 20, 1_500_000
+#: The bucket that adds up the words of all blocks; it gets one number from each.
+TOTAL = -1
 
 
 def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.4) -> DataFrame:
     """The columns of ``docs`` but ``text``, with ``n_words`` LONG, ``n_backoff`` LONG
     (words scored by a shorter n-gram than their place allows), ``lm_score`` DOUBLE (mean
     natural logarithm of the words' scores)."""
+    extra = [T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("lm_score", T.DoubleType())]
+    docs = without(docs, [f.name for f in extra], [text])
     n_bytes = B.text_bytes(docs, text)
     n_buckets = n_bytes * order // (6 * BUCKET_GRAMS) + 1
     blocks = B.make_blocks(docs, text, BLOCK_BYTES)
-    extra = [T.StructField("n_words", T.LongType()), T.StructField("n_backoff", T.LongType()), T.StructField("lm_score", T.DoubleType())]
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + extra)
     hashes, powers = WordHashes(), Powers()
 
@@ -55,45 +62,44 @@ def score(docs: DataFrame, text: str = "text", order: int = 3, alpha: float = 0.
 
     def emit(table: pa.Table) -> Iterator[tuple[int, bytes]]:
         n_words, by_order = grams(table)
+        yield TOTAL, B.pack(np.array([n_words.sum()], np.uint64))
         sent = []
         for g in by_order:
             keys, counts = np.unique(g, return_counts=True)
-            sent.append((keys, counts, np.searchsorted(bucket_of(keys, n_buckets), np.arange(n_buckets + 1, dtype=np.uint64))))
-        for k in range(n_buckets):
-            parts = [(keys[c[k] : c[k + 1]], counts[c[k] : c[k + 1]]) for keys, counts, c in sent]
-            row = {"words": [int(n_words.sum())]}
-            for i, (keys, counts) in enumerate(parts):
-                row |= {f"k{i}": [B.pack_ints(keys >> np.uint64(8), True)], f"n{i}": [B.pack_ints(counts.astype(np.uint64))]}
-            yield k, B.pack_table(pa.table(row))
+            sent.append((keys >> np.uint64(8), counts, bucket_of(keys, n_buckets)))
+        for k in np.unique(np.concatenate([b for _, _, b in sent])):
+            cuts = [np.searchsorted(b, [k, k + np.uint64(1)]) for _, _, b in sent]
+            yield int(k), B.pack(*[keys[x:y] for (keys, _, _), (x, y) in zip(sent, cuts, strict=True)], *[counts[x:y] for (_, counts, _), (x, y) in zip(sent, cuts, strict=True)], ascending=order)
 
-    def reduce(messages: list[bytes]) -> list[bytes]:
-        rows = [B.unpack_table(m).to_pylist()[0] for m in messages]
-        out = [{"words": [sum(r["words"] for r in rows)]} for _ in rows]
+    def reduce(bucket: int, messages: list[bytes]) -> list[bytes]:
+        rows = [B.unpack(m, 0 if bucket == TOTAL else order)[0] for m in messages]
+        if bucket == TOTAL:
+            return [B.pack(np.array([sum(int(r[0][0]) for r in rows)], np.uint64))] * len(rows)
+        out: list[list[np.ndarray]] = [[] for _ in rows]
         for i in range(order):
-            keys = [B.unpack_ints(r.pop(f"k{i}"), True) for r in rows]
-            counts = np.concatenate([B.unpack_ints(r.pop(f"n{i}")) for r in rows])
-            flat = np.concatenate(keys)
+            keys = [r[i] for r in rows]
+            counts, flat = np.concatenate([r[order + i] for r in rows]), np.concatenate(keys)
             turn = np.argsort(flat)
             first = np.concatenate([[True], flat[turn][1:] != flat[turn][:-1]]) if len(flat) else np.empty(0, bool)
             sums = np.add.reduceat(counts[turn], np.flatnonzero(first)) if len(flat) else counts
             totals = np.empty(len(flat), np.uint64)
             totals[turn] = sums[np.cumsum(first) - 1]
             for x, t in zip(out, np.split(totals, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-                x[f"t{i}"] = [B.pack_ints(t)]
-        return [B.pack_table(pa.table(x)) for x in out]
+                x.append(t)
+        return [B.pack(*x) for x in out]
 
     def finish(table: pa.Table, answers: dict[int, bytes]) -> pa.Table:
         n_words, by_order = grams(table)
-        rows = [B.unpack_table(answers[k]).to_pylist()[0] for k in sorted(answers)]
+        all_words = int(B.unpack(answers.pop(TOTAL))[0][0][0])
+        rows = [B.unpack(answers[k])[0] for k in sorted(answers)]
         n_docs = len(n_words)
         ends = np.cumsum(n_words)
-        all_words = rows[0]["words"] if rows else 0
         rest = all_words - np.repeat(n_words, n_words)  # words of the other documents
         place = np.arange(len(rest)) - np.repeat(ends - n_words, n_words)  # of a word in its document
         counts = []  # of the n-gram that ends at each word, without its own document
         for n, g in enumerate(by_order, 1):
             keys, at = np.unique(g, return_inverse=True)
-            total = np.concatenate([B.unpack_ints(r[f"t{n - 1}"]) for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
+            total = np.concatenate([r[n - 1] for r in rows]).astype(np.int64) if rows else np.empty(0, np.int64)
             owner = np.repeat(np.arange(n_docs), np.maximum(n_words - n + 1, 0))
             _, same, own = np.unique(owner * max(1, len(keys)) + at, return_inverse=True, return_counts=True)
             c = np.zeros(len(rest), np.int64)

@@ -41,7 +41,7 @@ def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return rlz.parse(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return rlz.parse(docs, text_as="kept").select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe.encode(docs, RANKS, public_tokenizers.PATTERN)
-    return bpe.decode(ids, RANKS).select("doc_id", *bpe.digest(ids))
+    return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded="decoded").select("doc_id", *bpe.digest())
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +43,15 @@ def release() -> None:
         trim(0)
 
 
+def without(df: DataFrame, results: list[str], needed: list[str] = ()) -> DataFrame:
+    """``df`` without the columns that a result will be named like, however the name is
+    cased: the result replaces them. A column that the operator reads can't be one."""
+    names = {n.lower() for n in results}
+    if clash := [n for n in needed if n.lower() in names]:
+        raise ValueError(f"{clash[0]} is both read and a result")
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
+
+
 def write_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here. The
     files go when the session ends."""

@@ -32,9 +32,10 @@ def brute_spans(rows: list[tuple], width: int) -> list[tuple]:
 
 
 def test_factors():
-    held = np.array([0, 1, 1, 0, 0, 1, 0], bool)
-    assert rlz.factors(held, 3) == [(1, 4), (5, 3)]
-    assert rlz.factors(np.zeros(0, bool), 3) == []
+    held = np.array([0, 1, 1, 0, 0, 1, 1, 1], bool)
+    source, at = np.array([9, 1, 1, 9, 9, 2, 2, 3]), np.array([0, 4, 5, 0, 0, 7, 9, 10])
+    assert rlz.factors(source, at, held, 3) == [(1, 4, 1, 4), (5, 3, 2, 7), (6, 3, 2, 9), (7, 3, 3, 10)]
+    assert rlz.factors(source, at, np.zeros(8, bool), 3) == []
 
 
 @pytest.mark.parametrize("width", [3, 50])
@@ -45,11 +46,37 @@ def test_substrings_against_all_windows(spark, width):
     for i in range(60):
         rows.append((r.randrange(1000), " ".join(r.choice([r.choice(passages), words(r.randint(1, 40), i * 7 + k)]) for k in range(r.randint(1, 4)))))
     rows += [(2000 + i, passages[0]) for i in range(30)]
+    # Passages that overlap in the reference: a factor begins inside the one before.
+    long = words(200, 70).split()
+    rows += [(3000, " ".join(long[:120])), (3001, " ".join(long[60:])), (3002, " ".join(long))]
     r.shuffle(rows)
     got = rlz.parse(docs(spark, rows, extra=True).repartition(5), width=width)
     made = got.select("doc_id", "n_words", "n_removed", "kept", "spans", "text", "block").collect()
     assert sorted(((1 << 70) if x["doc_id"] is None else x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in made) == brute_spans(rows, width)
-    assert all(s["words"] >= width for x in made for s in x["spans"])
+    by: dict[int, list[list[str]]] = {}
+    for i, t in rows:
+        by.setdefault(i, []).append((t or "").split())
+    for x in made:
+        mine = (x["text"] or "").split()
+        for s in x["spans"]:
+            assert s["words"] >= width and (x["doc_id"] is None or s["source"] < x["doc_id"])
+            if len(by[s["source"]]) == 1:
+                assert mine[s["start"] : s["start"] + s["words"]] == by[s["source"]][0][s["at"] : s["at"] + s["words"]]
+    if width == 50:
+        (last,) = [x for x in made if x["doc_id"] == 3002]
+        assert [tuple(s) for s in last["spans"]] == [(0, 120, 3000, 0), (71, 129, 3001, 11)]
+
+
+def test_substrings_in_place_of_the_text(spark):
+    rows = [(1, "a  b c d"), (2, "x  y a b c"), (3, None), (4, " plain  text ")]
+    df = docs(spark, rows)
+    cut = {r["doc_id"]: r["text"] for r in rlz.parse(df, width=3, text_as="cut").collect()}
+    assert cut == {1: "a  b c d", 2: "x y", 3: None, 4: " plain  text "}
+    kept = rlz.parse(df, width=3, text_as="kept")
+    assert kept.columns == ["doc_id", "n_words", "spans", "n_removed", "kept"]
+    assert {r["doc_id"]: (r["n_words"], r["kept"]) for r in kept.collect()} == {1: (4, "a b c d"), 2: (5, "x y"), 3: (0, ""), 4: (2, "plain text")}
+    with pytest.raises(ValueError):
+        rlz.parse(df.selectExpr("cast(doc_id as string) doc_id", "text"))
 
 
 def test_substrings_of_no_rows(spark):

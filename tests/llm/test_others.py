@@ -344,5 +344,18 @@ def test_packed_numbers():
     r = np.random.default_rng(1)
     for n in (0, 1, 1000):
         x = np.sort(r.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        assert (blocks.unpack_ints(blocks.pack_ints(x, True), True) == x).all()
-        assert (blocks.unpack_ints(blocks.pack_ints(x)) == x).all()
+        y = r.integers(0, 300, n).astype(np.uint64)
+        got, rest = blocks.unpack(blocks.pack(x, y, np.zeros(n), ascending=1, rest=b"rest"), 1)
+        assert [g.tolist() for g in got] == [x.tolist(), y.tolist(), [0] * n] and rest == b"rest"
+
+
+def test_a_row_of_one_key_is_small():
+    assert len(blocks.pack(np.array([1 << 60], np.uint64), np.array([3]), ascending=1)) < 40
+
+
+def test_blocks_send_only_to_buckets_that_they_have_keys_for(spark):
+    made = blocks.make_blocks(docs(spark, [(i, words(3, i)) for i in range(200)]).repartition(4), "text", 200)
+    sent: list[int] = []
+    df = blocks.exchange(made, lambda t: ((hash(w) % 1000, b"") for w in sorted({w.as_py() for w in t["text"]})), lambda k, ms: [str(k).encode()] * len(ms), lambda t, a: t.append_column("n", [[len(a)] * len(t)]), "doc_id bigint, text string, n bigint")
+    sent = [(r["doc_id"], r["n"]) for r in df.collect()]
+    assert sorted(i for i, _ in sent) == list(range(200)) and all(1 <= n <= 40 for _, n in sent)

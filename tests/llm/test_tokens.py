@@ -35,6 +35,28 @@ def test_pieces_alone_stay_pieces(oracle):
         assert sum((oracle.encode_ordinary(p) for p in pieces), []) == oracle.encode_ordinary(text)
 
 
+def plain_merges(word: bytes) -> list[int]:
+    """Of a word's parts the two that make the lowest token together, again and again."""
+    parts = [word[i : i + 1] for i in range(len(word))]
+    while word not in RANKS and (found := [(RANKS[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in RANKS]):
+        i = min(found)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return [RANKS[word]] if word in RANKS else [RANKS[x] for x in parts]
+
+
+def test_merges(oracle):
+    r = random.Random(4)
+    made = ["".join(r.choice("aeinorst aeinorstäé漢字🙂'.\n") for _ in range(r.randint(1, 70))).encode() for _ in range(1500)]
+    made += [bytes([i]) for i in range(256)] + [bytes(r.randrange(256) for _ in range(r.randint(1, 50))) for _ in range(300)] + [b"ab" * 300]
+    m = bpe.Merges(RANKS)
+    assert m.encode(made) == [plain_merges(w) for w in made]
+    assert m.encode([w for w in made if len(w) > m.LONG]) == [oracle._core_bpe.encode_single_piece(w) for w in made if len(w) > m.LONG]
+    long = (b"z" * 70_000, " ".join(["lorem ipsum"] * 4000).encode())
+    assert m.encode([*long]) == [oracle._core_bpe.encode_single_piece(w) for w in long]
+    few = bpe.Merges({bytes([i]): i for i in range(256)})
+    assert few.encode([b"abc", b"x", b"q" * 90]) == [[97, 98, 99], [120], [113] * 90]
+
+
 def test_encode_and_decode(spark, oracle):
     rows = [*ODD, *sample(40), (1, "a\r\n\n  b  　x 12345 it's I'LL"), (2, "z" * 50_000), (3, words(30_000, 4)), (4, "<|endoftext|> é́ 🙂🙂 漢字")]
     df = docs(spark, rows, extra=True).repartition(3)
@@ -43,7 +65,10 @@ def test_encode_and_decode(spark, oracle):
     assert set(got.columns) == (set(df.columns) - {"text"}) | {"ids", "decoded"}
     expected = sorted((no(i), oracle.encode_ordinary(t or "")) for i, t in rows)
     assert sorted((no(r["doc_id"]), list(r["ids"])) for r in got.collect()) == expected
-    assert sorted((no(r["doc_id"]), bytes(r["decoded"])) for r in got.collect()) == sorted((no(i), (t or "").encode()) for i, t in rows)
+    expected_bytes = sorted((no(i), (t or "").encode()) for i, t in rows)
+    assert sorted((no(r["doc_id"]), bytes(r["decoded"])) for r in got.collect()) == expected_bytes
+    both = bpe.encode(df, queries.RANKS, public_tokenizers.PATTERN, decoded="decoded").collect()
+    assert sorted((no(r["doc_id"]), list(r["ids"])) for r in both) == expected and sorted((no(r["doc_id"]), bytes(r["decoded"])) for r in both) == expected_bytes
 
 
 def test_no_rows_and_null_ids(spark):
