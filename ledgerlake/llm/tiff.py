@@ -4,12 +4,15 @@
 PackBits, LZW or deflate strips and tiles, undoes horizontal differencing and emits the
 samples of each page. ``store`` writes bytes as TIFF pages.
 
+Pages of 1, 8 or 16 bits a sample are read, chunky or plane by plane, predictors 1 and 2;
+a page of more than ``MAX_SAMPLES`` samples isn't, and gets an error row like a broken one.
+
 Null or empty media give no page row with samples but one row with page 0 and an error,
 as does a file that isn't TIFF; a broken page gets a row with null samples and its error,
 and the walk goes on where its directory still names the next. Directory loops end the
-walk with an error row. Repeated rows and clashing names of other columns are kept apart
-by the caller's choice of columns: the result has the columns of the input but the media,
-and those of ``PAGE``.
+walk with an error row. Repeated rows are read each for itself, ties can't arise, no rows
+give no rows, and files and texts may be as long as a value can be. A column that has the
+name of a result (``PAGE``, or ``n_bytes`` and the medium in ``store``) is replaced by it.
 """
 
 from __future__ import annotations
@@ -17,14 +20,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ledgerlake.llm.store import bounded_batches
+from ledgerlake.llm.store import bounded_batches, without
 
 # Fixed values of the TIFF 6.0 format: tags, field types, compressions.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -47,7 +50,8 @@ PAGE = T.StructType(
         T.StructField("error", T.StringType()),
     ]
 )
-#: Samples of a page at most, against files that claim more than they hold.
+#: Samples of a page at most: a page is one value, which can't hold much more, and files
+#: may claim more than they hold.
 MAX_SAMPLES = 1 << 28
 
 
@@ -83,64 +87,92 @@ def pack_bits(row: bytes) -> bytes:
     return bytes(out)
 
 
+#: Of the codes after a reset the width of each, and the bit at which it begins. The table
+#: has 258 entries before the first code and grows by one with each but the first.
+LZW_RUN = 4096
+LZW_WIDTH = np.minimum(9 + np.searchsorted([512, 1024, 2048], 258 + np.arange(LZW_RUN), "right"), 12)
+LZW_BEGIN = np.concatenate([[0], np.cumsum(LZW_WIDTH)])
+LZW_START = [bytes([i]) for i in range(256)] + [b"", b""]
+
+
+def lzw_codes(bits: np.ndarray, at: int, first: int, n: int) -> np.ndarray:
+    """Up to ``n`` codes from bit ``at``, of which the first is number ``first`` after a
+    reset; ``bits`` has 12 zeros more than there is data."""
+    k = np.minimum(np.arange(first, first + n), LZW_RUN - 1)
+    width = LZW_WIDTH[k]
+    begin = at + np.concatenate([[0], np.cumsum(width)])
+    there = int(np.searchsorted(begin[1:], len(bits) - 12, "right"))
+    begin, width = begin[:there], width[:there]
+    twelve = np.zeros(there, np.int64)
+    for i in range(12):
+        twelve = twelve << 1 | bits[begin + i]
+    return twelve >> (12 - width)
+
+
 def lzw_decode(data: bytes, size: int) -> bytes:
-    """Codes of 9 to 12 bits, high bit first, one code early in width."""
-    start = [bytes([i]) for i in range(256)] + [b"", b""]
-    table, out, last, width, have, held = list(start), [], b"", 9, 0, 0
-    made = 0
-    for byte in data:
-        held, have = (held << 8 | byte) & 0xFFFFFF, have + 8
-        if have < width:
-            continue
-        have -= width
-        code = held >> have & (1 << width) - 1
-        if code == 257:
+    """Codes of 9 to 12 bits, high bit first, one code early in width. Codes are cut out
+    of the bits together, as their widths are known up to the next reset."""
+    bits = np.concatenate([np.unpackbits(np.frombuffer(data, np.uint8)), np.zeros(12, np.uint8)])
+    table, out, last, at, first, made = list(LZW_START), [], b"", 0, 0, 0
+    while made < size:
+        codes = lzw_codes(bits, at, first, 64 if first == 0 else 1024)
+        if not len(codes):
             break
-        if code == 256:
-            table, last, width = list(start), b"", 9
-            continue
-        if not last:
-            entry = table[code]
-        else:
-            if code > len(table):
-                raise ValueError("LZW code beyond the table")
-            entry = table[code] if code < len(table) else last + last[:1]
-            table.append(last + entry[:1])
-        out.append(entry)
-        made += len(entry)
-        last = entry
-        n = len(table)
-        width = 9 if n < 511 else 10 if n < 1023 else 11 if n < 2047 else 12
-        if made >= size:
+        ends = np.flatnonzero((codes == 256) | (codes == 257))
+        n = int(ends[0]) if len(ends) else len(codes)
+        for code in codes[:n].tolist():
+            if not last:
+                entry = table[code]
+            else:
+                if code > len(table):
+                    raise ValueError("LZW code beyond the table")
+                entry = table[code] if code < len(table) else last + last[:1]
+                table.append(last + entry[:1])
+            out.append(entry)
+            made += len(entry)
+            last = entry
+        if len(ends) and codes[n] == 257:
             break
-    return b"".join(out)
+        taken = n + bool(len(ends))
+        at += int(LZW_WIDTH[np.minimum(np.arange(first, first + taken), LZW_RUN - 1)].sum())
+        first += taken
+        if len(ends):
+            table, last, first = list(LZW_START), b"", 0
+    return b"".join(out)[:size]
 
 
 def lzw_encode(data: bytes) -> bytes:
-    table, width, bits, held = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b""
-    following = 258
-    for i in range(len(data)):
-        more = held + data[i : i + 1]
-        if more in table:
-            held = more
+    """The table is kept as (code before, byte) -> code; it is reset when 4,094 codes are
+    in use."""
+    codes, runs, begin = [256], [], 0
+    table: dict[int, int] = {}
+    following, held = 258, -1
+    for b in data:
+        if held < 0:
+            held = b
+            continue
+        key = held << 8 | b
+        if (code := table.get(key)) is not None:
+            held = code
             continue
-        bits.append((table[held], width))
-        table[more] = following
+        codes.append(held)
+        table[key] = following
         following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
+        held = b
         if following == 4094:
-            bits.append((256, width))
-            table, width, following = {bytes([j]): j for j in range(256)}, 9, 258
-        held = data[i : i + 1]
-    if held:
-        bits.append((table[held], width))
-        following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    bits.append((257, width))
-    value = n = 0
-    for code, w in bits:
-        value, n = value << w | code, n + w
-    return (value << -n % 8).to_bytes(-(-n // 8), "big")
+            codes.append(256)
+            runs.append(len(codes) - 1 - begin)
+            begin, following = len(codes) - 1, 258
+            table.clear()
+    if held >= 0:
+        codes.append(held)
+    codes.append(257)
+    runs.append(len(codes) - 1 - begin)
+    # The code that resets is the last of its run; the first of all stands alone.
+    width = np.concatenate([LZW_WIDTH[:1], *(LZW_WIDTH[:n] for n in runs)])
+    sixteen = (np.array(codes, np.int64) << (16 - width)).astype(">u2")
+    bits = np.unpackbits(sixteen.view(np.uint8)).reshape(-1, 16)
+    return np.packbits(bits[np.arange(16)[None, :] < width[:, None]]).tobytes()
 
 
 def compress(data: bytes, how: int, row: int) -> bytes:
@@ -173,19 +205,18 @@ def difference(a: np.ndarray) -> np.ndarray:
 
 def write(payload: bytes, width: int, plan, page_rows: int) -> bytes:
     """``payload`` (a multiple of ``width``) as grey 8-bit pages of ``page_rows`` rows.
-    ``plan(page, rows)`` gives (compression, predictor, tile side or 0)."""
+    ``plan(page)`` gives (compression, predictor, tile side or 0, rows a strip)."""
     grid = np.frombuffer(payload, np.uint8).reshape(-1, width)
     out, link = bytearray(b"II*\0\0\0\0\0"), 4
     for k, a in enumerate(range(0, len(grid), page_rows)):
         page = grid[a : a + page_rows]
-        how, predictor, side = plan(k, len(page))
+        how, predictor, side, strip = plan(k)
         if side:
             high, wide = -(-len(page) // side) * side, -(-width // side) * side
             full = np.zeros((high, wide), np.uint8)
             full[: len(page), :width] = page
             parts = [full[y : y + side, x : x + side] for y in range(0, high, side) for x in range(0, wide, side)]
         else:
-            strip = 16
             parts = [page[y : y + strip] for y in range(0, len(page), strip)]
         places = []
         for part in parts:
@@ -236,37 +267,45 @@ def directories(data: bytes) -> Iterator[tuple[dict[int, tuple[int, ...]], str]]
 
 
 def samples_of(data: bytes, tags: dict[int, tuple[int, ...]], order: str) -> dict:
-    one = lambda tag, other=None: tags[tag][0] if tag in tags else other
+    one = lambda tag, other=None: tags[tag][0] if tags.get(tag) else other
     width, height, samples, bits = one(WIDTH), one(LENGTH), one(SAMPLES, 1), one(BITS, 1)
     how, predictor, tiled = one(COMPRESSION, 1), one(PREDICTOR, 1), TILE_OFFSETS in tags
-    out = {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor, "tiled": tiled, "data": None}
-    if not width or not height:
-        return out | {"error": "no size"}
-    if bits not in (8, 16) or one(PLANAR, 1) != 1 or width * height * samples > MAX_SAMPLES:
-        return out | {"error": f"{bits} bits, planar {one(PLANAR, 1)}, {width} x {height} samples are not read"}
-    kind = np.dtype(np.uint8) if bits == 8 else np.dtype(order + "u2")
-    if tiled:
-        wide, high, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags.get(TILE_COUNTS)
-    else:
-        wide, high, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS)
+    named = {"width": width, "height": height, "samples": samples, "bits": bits, "compression": how, "predictor": predictor}
+    out = {n: x if x is not None and x < 1 << 31 else None for n, x in named.items()} | {"tiled": tiled, "data": None}
     try:
-        across = -(-width // wide)
-        grid = np.zeros((height, width * samples), kind)
+        if not width or not height or not samples:
+            raise ValueError("no size")
+        planes = samples if one(PLANAR, 1) == 2 else 1
+        if bits not in (1, 8, 16) or predictor not in (1, 2) or (bits == 1 and predictor == 2) or one(PLANAR, 1) not in (1, 2) or width * height * samples > MAX_SAMPLES:
+            raise ValueError(f"{bits} bits, predictor {predictor}, planar {one(PLANAR, 1)}, {width} x {height} samples are not read")
+        kind = np.dtype(np.uint8) if bits < 16 else np.dtype(order + "u2")
+        if tiled:
+            wide, high, offsets, counts = one(TILE_WIDTH), one(TILE_LENGTH), tags[TILE_OFFSETS], tags.get(TILE_COUNTS)
+        else:
+            wide, high, offsets, counts = width, min(one(ROWS_PER_STRIP, height), height), tags.get(STRIP_OFFSETS), tags.get(STRIP_COUNTS)
+        if not wide or not high or not offsets or not counts:
+            raise ValueError("no parts")
+        across, down, each = -(-width // wide), -(-height // high), samples // planes
+        if len(offsets) != across * down * planes or len(counts) != len(offsets):
+            raise ValueError(f"{len(offsets)} parts of {across * down * planes}")
+        grid = np.zeros((height, width, samples), kind)
         for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
-            y, x = k // across * high, k % across * wide
+            plane, place = divmod(k, across * down)
+            y, x = place // across * high, place % across * wide
             rows = high if tiled else min(high, height - y)
-            size = rows * wide * samples * kind.itemsize
-            raw = decompress(data[at : at + n], how, size)
-            if len(raw) != size:
-                raise ValueError(f"part {k} has {len(raw)} bytes of {size}")
-            part = np.frombuffer(raw, kind).reshape(rows, wide, samples)
+            line = -(-wide * each // 8) if bits == 1 else wide * each * kind.itemsize
+            raw = decompress(data[at : at + n], how, rows * line)
+            if len(raw) != rows * line:
+                raise ValueError(f"part {k} has {len(raw)} bytes of {rows * line}")
+            if bits == 1:
+                part = np.unpackbits(np.frombuffer(raw, np.uint8).reshape(rows, line), axis=1)[:, : wide * each].reshape(rows, wide, each)
+            else:
+                part = np.frombuffer(raw, kind).reshape(rows, wide, each)
             if predictor == 2:
                 part = np.cumsum(part, 1, dtype=kind.newbyteorder("="))
             h, w = min(rows, height - y), min(wide, width - x)
-            grid[y : y + h, x * samples : (x + w) * samples] = part[:h, :w].reshape(h, -1)
-        if (k + 1) * high < height * across if tiled else (k + 1) * high < height:
-            raise ValueError("parts are missing")
-    except Exception as e:
+            grid[y : y + h, x : x + w, plane * each : plane * each + each] = part[:h, :w]
+    except Exception as e:  # whatever a broken file leads to is that page's error
         return out | {"error": f"{type(e).__name__}: {e}"[:200]}
     return out | {"data": grid.astype(kind.newbyteorder("<")).tobytes(), "error": None}
 
@@ -277,13 +316,15 @@ def read(data: bytes | None) -> Iterator[dict]:
         for tags, order in directories(data or b""):
             yield {"page": k} | samples_of(data, tags, order)
             k += 1
-    except (ValueError, struct.error) as e:
+    except (ValueError, IndexError, struct.error) as e:
         yield {x.name: None for x in PAGE.fields} | {"page": k, "error": f"{e}"[:200]}
 
 
 def pages(df: DataFrame, media: str = "media", batch_bytes: int = 4 << 20) -> DataFrame:
     """A row for each page of the TIFF in ``media``, in order: the other columns of ``df``
-    and those of ``PAGE``. Samples are bytes, or 16-bit words low byte first."""
+    and those of ``PAGE``. Samples are bytes (0 or 1 if of one bit), or 16-bit words low
+    byte first."""
+    df = without(df, [f.name for f in PAGE.fields], [media])
     rest = [c for c in df.columns if c != media]
     schema = T.StructType([f for f in df.schema.fields if f.name != media] + PAGE.fields)
 
@@ -315,13 +356,11 @@ def pages(df: DataFrame, media: str = "media", batch_bytes: int = 4 << 20) -> Da
 STORE_WIDTH, STORE_ROWS = 192, 64
 
 
-def store_plan(_page: int, rows: int) -> tuple[int, int, int]:
-    """Small last pages by LZW or PackBits, full pages in tiles, others in strips."""
-    if rows <= 2:
-        return LZW, 2, 0
-    if rows <= 6:
-        return PACKBITS, 1, 0
-    return (DEFLATE, 1, 64) if rows == STORE_ROWS else (DEFLATE, 2, 0)
+def store_plan(seed: int) -> Callable[[int], tuple[int, int, int, int]]:
+    """Compressions, predictors, tiles and strips in turn, page by page, from a start that
+    the content decides; whatever size a page has, each form gets its share."""
+    forms = [(DEFLATE, 1, 64, 0), (LZW, 1, 0, STORE_ROWS), (PACKBITS, 1, 0, 16), (DEFLATE, 2, 0, 16), (LZW, 2, 0, 32), (PACKBITS, 1, 64, 0)]
+    return lambda page: forms[(seed + page) % len(forms)]
 
 
 def payload_of(text: str | None) -> tuple[bytes, int]:
@@ -333,13 +372,14 @@ def store(docs: DataFrame, text: str = "text", media: str = "media") -> DataFram
     """``docs`` with ``text`` replaced by ``n_bytes`` and ``media``, a TIFF of the text's
     UTF-8 padded by spaces to a positive multiple of ``STORE_WIDTH``; null is empty."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, ["n_bytes", media], [text])
     schema = T.StructType([f for f in docs.schema.fields if f.name != text] + [T.StructField("n_bytes", T.LongType()), T.StructField(media, T.BinaryType())])
     rest = [c for c in docs.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [payload_of(t) for t in batch.column(text).to_pylist()]
-            files = [write(p, STORE_WIDTH, store_plan, STORE_ROWS) for p, _ in made]
+            files = [write(p, STORE_WIDTH, store_plan(zlib.crc32(p)), STORE_ROWS) for p, _ in made]
             yield batch.select(rest).append_column("n_bytes", pa.array([n for _, n in made], pa.int64())).append_column(media, pa.array(files, pa.binary()))
 
     return docs.mapInArrow(run, schema)
