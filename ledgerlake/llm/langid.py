@@ -7,9 +7,14 @@ letters and single spaces for all else, and are hashed to ``N_FEATURES`` buckets
 Nystrom map on labelled landmarks and one-versus-rest kernel ridge regression give the
 weights; whole texts are scored in batches by two matrix products.
 
-The model is fitted on a bounded sample (``PER_CLASS`` rows a language, ``MAX_CLASSES``
-languages by frequency), chosen by a hash of the row. Null texts and texts without a
-letter are ``und`` with score 0, as are all texts if no labelled row has a letter.
+The model is fitted on a bounded sample of distinct texts, ``MAX_ROWS`` in all: an equal
+number of each language, ``PER_CLASS`` at most and ``LEAST`` at least, so every language
+that labels name is learned. Landmarks are taken from the languages in turn.
+
+Null texts and texts without a letter are ``und`` with score 0, as are all texts if no
+labelled row has a letter. Repeated rows get equal results and count once in training; of
+languages with equal scores the first by name wins. Texts of any length are read whole. No
+rows give no rows. A column of ``docs`` that has the name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -22,15 +27,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.store import bounded_batches, release
+from ledgerlake.llm.sampling import distinct_texts
+from ledgerlake.llm.store import bounded_batches, release, without
 
-N_FEATURES = 1 << 14
+BITS = 15
+N_FEATURES = 1 << BITS
 ORDERS = 4
-#: Labelled rows fitted on for each language, landmarks among them, languages.
-PER_CLASS, LANDMARKS, MAX_CLASSES = 800, 192, 64
+#: Labelled texts fitted on: in all, for each language; landmarks among them, in all and
+#: for each language.
+MAX_ROWS, PER_CLASS, LEAST = 12_800, 800, 8
+LANDMARKS, LANDMARKS_EACH = 192, 3
 RIDGE = 1e-3
 _PIECE = 1 << 20
-_ROWS = 256
+_ROWS = 128
 
 
 def _letters() -> np.ndarray:
@@ -61,7 +70,7 @@ def presence(text: str | None, letters: np.ndarray, out: np.ndarray) -> bool:
         h = np.zeros(len(codes), np.uint32)
         for n in range(ORDERS):
             h = (h[: len(codes) - n] * np.uint32(0x01000193) ^ codes[n:]) * np.uint32(0x85EBCA6B)
-            out[(h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(18)] = 1
+            out[(h ^ (h >> np.uint32(15))) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)] = 1
             if len(h) < 2:
                 break
             h = h[:-1]
@@ -72,36 +81,40 @@ def _lower_one(x: str) -> int:
     return ord(x.lower()[0]) if x.isalpha() else 32
 
 
-def fit(x: np.ndarray, y: np.ndarray, n_landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Classes, landmarks (features x m), weights (m x classes), bias."""
+def fit(bits: list[bytes], y: np.ndarray, n_landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, landmarks (features x m), weights (m x classes), bias, from the feature
+    bits of the rows."""
+    unpacked = lambda rows: np.stack([np.unpackbits(np.frombuffer(r, np.uint8)) for r in rows]).astype(np.float32)
     classes = sorted(set(y.tolist()))
-    turn = np.argsort(np.concatenate([np.arange(n) for n in [(y == c).sum() for c in classes]]), kind="stable")
-    by_class = np.concatenate([np.flatnonzero(y == c) for c in classes])
-    marks = x[by_class[turn[: n_landmarks]]]
+    members = [np.flatnonzero(y == c) for c in classes]
+    turn = np.argsort(np.concatenate([np.arange(len(m)) for m in members]), kind="stable")
+    chosen = np.concatenate(members)[turn[: max(n_landmarks, LANDMARKS_EACH * len(classes))]]
+    marks = unpacked([bits[i] for i in chosen])
     marks = marks / np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1))
-    k_nm = x @ marks.T / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    k_nm = []
+    for a in range(0, len(bits), _ROWS):
+        x = unpacked(bits[a : a + _ROWS])
+        k_nm.append(x @ marks.T / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1)))
     values, vectors = np.linalg.eigh(marks @ marks.T)
     good = values > 1e-6
     root = vectors[:, good] / np.sqrt(values[good])
-    z = k_nm @ root
+    z = np.concatenate(k_nm) @ root
     mean = z.mean(0)
     target = np.where(y[:, None] == np.array(classes)[None, :], 1.0, -1.0)
-    weight = 1 / np.array([(y == c).sum() for c in y])[:, None]
+    size = np.empty(len(y))
+    for m in members:
+        size[m] = len(m)
+    weight = 1 / size[:, None]
     shift = (target * weight).sum(0) / weight.sum()
     zc = z - mean
     w = np.linalg.solve(zc.T @ (zc * weight) + RIDGE * np.eye(z.shape[1]), zc.T @ ((target - shift) * weight))
     return classes, marks.T.astype(np.float32), (root @ w).astype(np.float32), (shift - mean @ w).astype(np.float32)
 
 
-def train(labelled: DataFrame, text: str, label: str, per_class: int = PER_CLASS) -> tuple | None:
+def train(labelled: DataFrame, text: str, label: str, max_rows: int = MAX_ROWS, per_class: int = PER_CLASS) -> tuple | None:
     """Fit on a sample of the rows with text and label; None if there is none."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).alias("y")).filter(F.col("t").isNotNull() & F.col("y").isNotNull())
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(MAX_CLASSES).collect()
-    if not counts:
-        return None
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r["y"], min(1.0, per_class / r["count"]))])
-    drawn = F.pmod(F.xxhash64("t"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(drawn < share[F.col("y")]).select("t", "y", F.xxhash64("t", F.lit(1)).alias("h"))
+    n_classes = labelled.select(F.approx_count_distinct(F.col(f"`{label}`"))).head()[0]
+    sample = distinct_texts(labelled, text, label, min(max_rows, per_class * n_classes), LEAST, even=True)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
@@ -113,16 +126,16 @@ def train(labelled: DataFrame, text: str, label: str, per_class: int = PER_CLASS
                 bits.append(np.packbits(row).tobytes())
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "h": batch.column("h"), "some": some, "bits": pa.array(bits, pa.binary())})
 
-    got = sample.mapInArrow(features, "y string, h long, some boolean, bits binary").filter("some").orderBy("h", "y").limit(2 * per_class * len(counts)).collect()
+    got = sorted(sample.mapInArrow(features, "y string, h long, some boolean, bits binary").filter("some").collect(), key=lambda r: (r["h"], r["y"]))
     if not got:
         return None
-    x = np.stack([np.unpackbits(np.frombuffer(r["bits"], np.uint8)) for r in got]).astype(np.float32)
-    return fit(x, np.array([r["y"] for r in got]))
+    return fit([r["bits"] for r in got], np.array([r["y"] for r in got]))
 
 
 def predict(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; of ``docs`` only ``text`` is looked at."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, ["lang_pred", "score"], [text])
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

@@ -4,11 +4,14 @@ A text is the mean of learned vectors of its words, its character n-grams (3 and
 of UTF-8) and its repetitions (a word equal to the one ``g`` words before, for small
 ``g``, is the feature of that gap), each hashed to one of ``N_FEATURES`` rows; a softmax
 output follows. Vectors and output are trained together by stochastic gradient descent
-in numpy, on at most ``MAX_ROWS`` labelled rows chosen by a hash of the text. Whole texts
-are scored.
+in numpy, in batches of ``BATCH`` rows, on ``MAX_ROWS`` distinct labelled texts at most and
+``LEAST`` of each label at least, chosen by a hash of the text. Whole texts are scored.
 
 Null and empty texts have no feature: their mean is the zero vector, so their score is
-that of the output's bias. Without labelled rows every score is 0.5.
+that of the output's bias. Without labelled rows every score is 0.5. Repeated rows get
+equal scores and count once in training, but a text with both labels counts for both; ties
+can't arise. No rows give no rows. A column of ``docs`` that has the name of a result is
+replaced by it.
 """
 
 from __future__ import annotations
@@ -23,13 +26,14 @@ from pyspark.sql import types as T
 
 from ledgerlake.llm import blocks as B
 from ledgerlake.llm.hashing import WordHashes
-from ledgerlake.llm.store import bounded_batches
+from ledgerlake.llm.sampling import distinct_texts
+from ledgerlake.llm.store import bounded_batches, without
 
 BITS = 16
 N_FEATURES = 1 << BITS
-DIM, EPOCHS, RATE = 8, 12, 2.0
-#: Labelled rows trained on.
-MAX_ROWS = 6000
+DIM, EPOCHS, RATE, BATCH = 8, 8, 2.0, 16
+#: Labelled texts trained on, and those of each label at least, if there are as many.
+MAX_ROWS, LEAST = 6000, 200
 #: Gaps at which an equal word is a repetition.
 GAPS = 16
 _PIECE = 1 << 20
@@ -71,51 +75,59 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7)
     prior = (y.mean() * len(y) + 1) / (len(y) + 2)
     bias = np.log(np.array([1 - prior, prior], np.float32))
     squares = np.full(N_FEATURES, 1e-4, np.float32)
-    weights = [c / max(1, c.sum()) for _, c in rows]
-    steps, done = EPOCHS * len(rows), 0
+    weights = [(c / max(1, c.sum())).astype(np.float32) for _, c in rows]
+    turn = rng.permutation(len(rows))
+    batches = []
+    for a in range(0, len(rows), BATCH):
+        some = turn[a : a + BATCH]
+        used, place = np.unique(np.concatenate([rows[i][0] for i in some]), return_inverse=True)
+        owner = np.repeat(np.arange(len(some)), [len(rows[i][0]) for i in some])
+        batches.append((used, (owner * len(used) + place).astype(np.int32), np.concatenate([weights[i] for i in some]), np.eye(2, dtype=np.float32)[y[some]]))
+    del weights
+    steps, done = EPOCHS * len(batches), 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(rows)):
-            ids, x = rows[i][0], weights[i].astype(np.float32)
+        for k in rng.permutation(len(batches)):
+            used, at, share, target = batches[k]
+            # Rows by the features they use: the batch's part of the matrix of weights.
+            x = np.zeros((len(target), len(used)), np.float32)
+            x.reshape(-1)[at] = share
             rate = RATE * (1 - done / steps)
-            mean = x @ e[ids]
-            p = np.exp((z := mean @ w + bias) - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1  # the error of the softmax
-            back = w @ p
-            w -= 0.05 * rate * np.outer(mean, p)
-            bias -= 0.005 * rate * p
-            g = x[:, None] * back
-            squares[ids] += (g * g).mean(1)
-            e[ids] -= 0.1 * rate * g / np.sqrt(squares[ids])[:, None]
+            mean = x @ e[used]
+            z = mean @ w + bias
+            p = np.exp(z - z.max(1, keepdims=True))
+            error = p / p.sum(1, keepdims=True) - target  # of the softmax
+            back = error @ w.T
+            w -= 0.05 * rate * mean.T @ error
+            bias -= 0.005 * rate * error.sum(0)
+            g = x.T @ back
+            squares[used] += (g * g).mean(1)
+            e[used] -= 0.1 * rate * g / np.sqrt(squares[used])[:, None]
             done += 1
     return e, w, bias
 
 
 def train(labelled: DataFrame, text: str, label: str, max_rows: int = MAX_ROWS) -> tuple | None:
     """Fit on a sample of the rows whose label is 0 or 1."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    n = rows.count()
-    if not n:
-        return None
-    sample = rows.withColumn("h", F.xxhash64("t")).filter(F.pmod("h", F.lit(1 << 30)) < min(1.0, 1.1 * max_rows / n) * (1 << 30))
+    known = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1))
+    sample = distinct_texts(known, "t", "y", max_rows, LEAST, even=False)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            made = [counted(t, hashes) for t in batch.column("t").to_pylist()]
-            packed = {"ids": [B.pack_ints(i.astype(np.uint64), True) for i, _ in made], "n": [B.pack_ints(c.astype(np.uint64)) for _, c in made]}
-            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "h": batch.column("h"), **packed})
+            made = [B.pack(*counted(t, hashes), ascending=1) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "h": batch.column("h"), "x": pa.array(made, pa.binary())})
 
-    got = sample.mapInArrow(count, "y int, h long, ids binary, n binary").orderBy("h", "y").limit(max_rows).collect()
+    got = sorted(sample.mapInArrow(count, "y string, h long, x binary").collect(), key=lambda r: (r["h"], r["y"]))
     if not got:
         return None
-    x = [(B.unpack_ints(r["ids"], True).astype(np.uint32), B.unpack_ints(r["n"]).astype(np.float32)) for r in got]
-    return fit(x, np.array([r["y"] for r in got]))
+    x = [(i.astype(np.uint16), n.astype(np.float32)) for (i, n), _ in (B.unpack(r["x"], 1) for r in got)]
+    return fit(x, np.array([int(r["y"]) for r in got]))
 
 
 def score(docs: DataFrame, model: tuple | None, text: str = "text") -> DataFrame:
     """``docs`` with ``score``, the softmax output for label 1; only ``text`` is looked at."""
     bounded_batches(docs.sparkSession)
+    docs = without(docs, ["score"], [text])
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 

@@ -25,7 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out(doc_id: str, mod: int, rest: int) -> Column:
-    return F.crc32(F.col(doc_id).cast("string")) % mod == rest
+    """Whether a row is held out by its id; a row without an id isn't."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % mod == rest, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
