@@ -6,15 +6,18 @@ the magnitude of its length, its number of lines and whether it asks. Probabilit
 counts over labelled lines on top of fixed pseudo-counts, so that without labels the
 markers and the alternation of turns alone decide. Viterbi's best path gives the roles.
 
-Transcripts can be of any length. They are cut into chunks of ``CHUNK`` positions; a
-chunk becomes the table of its best path scores from each role before it to each role at
-its end; tables of ``CHUNK`` neighbours combine to one until a transcript has one; on the
-way back every chunk learns the roles at its two ends and finds its own path. The result
-is the best path over the whole transcript, and no task holds more than a chunk.
-
-Lines come in order of position; ties are ordered by text, null positions come last; a
-null id is a transcript of its own. Null texts are empty lines. Repeated rows are
-repeated lines. No row is dropped.
+Transcripts can be of any length. All lines are numbered in order of transcript and
+position, and cut into chunks of ``CHUNK`` numbers, so no chunk has more lines whatever
+the positions are; a transcript's part of a chunk becomes the table of its best path scores
+from each role before it to each role at its end; tables of ``CHUNK`` neighbours combine to
+one until a transcript has one; on the way back every chunk learns the roles at its two ends
+and finds its own path. The result is the best path over the whole transcript, and no task
+holds more than a chunk.
+
+Lines come in order of position; ties are ordered by a hash of the text, null positions
+come last; a null id is a transcript of its own. Null texts are empty lines. Repeated rows
+are repeated lines. Of equally good paths the one with the earlier roles in ``ROLES`` wins.
+No row is dropped, no rows give no rows. Only the columns named are looked at and returned.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerlake.llm.store import write_table
+from ledgerlake.llm.store import numbered, write_table
 
 ROLES = ("system", "user", "assistant")
 START = len(ROLES)
@@ -71,17 +74,30 @@ def parameters(counts: dict | None = None) -> dict[str, np.ndarray]:
     return {n: np.log(x / x.sum(1, keepdims=True)) for n, x in base.items()}
 
 
+def key_of(conv: str) -> Column:
+    """A text that names a transcript, also one without an id."""
+    return F.coalesce(F.concat(F.lit("="), F.col(f"`{conv}`").cast("string")), F.lit(""))
+
+
+def in_order() -> list[Column]:
+    return [F.col("key"), F.col("pos").asc_nulls_last(), F.col("h")]
+
+
 def train(lines: DataFrame, conv: str, position: str, text: str, role: str) -> dict[str, np.ndarray]:
     """Count features and moves over all labelled lines; what comes back is as large as
     the feature space."""
     at = F.array_position(F.array(*map(F.lit, ROLES)), F.col(f"`{role}`")) - 1
-    rows = observed(lines.select(F.col(f"`{conv}`").alias("c"), F.col(f"`{position}`").cast("long").alias("p"), F.col(f"`{text}`").alias("t"), at.alias("r")).filter("r >= 0"), "t")
+    given = lines.select(key_of(conv).alias("key"), F.col(f"`{position}`").alias("pos"), F.col(f"`{text}`").alias("t"), at.alias("r")).filter("r >= 0")
+    seen = observed(given, "t").select("key", "pos", F.xxhash64("t").alias("h"), "r", "_m", "_s", "_n", "_q")
+    rows = numbered(seen, in_order(), "labelled", "row")
     counts = {"m": np.zeros((3, 4)), "s": np.zeros((3, SIZES)), "n": np.zeros((3, LINES)), "q": np.zeros((3, 2)), "move": np.zeros((4, 3))}
     for r in rows.groupBy("r", "_m", "_s", "_n", "_q").count().collect():
         for name in "msnq":
             counts[name][r["r"], r[f"_{name}"]] += r["count"]
-    before = rows.select("c", (F.col("p") + 1).alias("p"), F.col("r").alias("b"))
-    for r in rows.select("c", "p", "r").join(before, ["c", "p"], "left").groupBy("b", "r").count().collect():
+    # The line before has the number before, and opens nothing if another transcript's.
+    before = rows.select((F.col("row") + 1).alias("row"), F.col("key").alias("k"), F.col("r").alias("b"))
+    moved = rows.select("row", "key", "r").join(before, "row", "left")
+    for r in moved.groupBy(F.when(F.col("k") == F.col("key"), F.col("b")).alias("b"), "r").count().collect():
         counts["move"][START if r["b"] is None else r["b"], r["r"]] += r["count"]
     return parameters(counts)
 
@@ -150,26 +166,22 @@ def format_chat(lines: DataFrame, conv: str = "conv_id", position: str = "turn",
     for role in ROLES:
         bare = F.regexp_replace(bare, MARKER % (MARKERS[role], MARKERS[role]), "")
     rows = lines.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{position}`").alias("pos"), F.col(f"`{text}`").alias("text"))
-    low, high = rows.agg(F.min("pos").cast("long"), F.max("pos").cast("long")).head()
-    place = F.coalesce(F.col("pos").cast("long") - (low or 0), F.lit((high or 0) - (low or 0) + 1))
-    rows = rows.withColumns({"key": F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("")), "chunk": F.floor(place / CHUNK).cast("long")})
-    rows = write_table(observed(rows, "text"), "lines")
-    order = ["key", "chunk", "pos", "text"]
+    rows = rows.withColumns({"key": key_of("conv"), "h": F.xxhash64("text")})
+    rows = numbered(observed(rows, "text"), in_order(), "lines", "row").withColumn("chunk", F.floor(F.col("row") / CHUNK).cast("long"))
+    order = ["key", "chunk", "row"]
     level_type = "key string, chunk long, score binary"
     level_schema = pa.schema([("key", pa.string()), ("chunk", pa.int64()), ("score", pa.binary())])
 
     def sorted_by(df: DataFrame, names: list[str], then: list[Column]) -> DataFrame:
         return df.repartition(*names).sortWithinPartitions(*names, *then)
 
-    in_order = [F.col("pos").asc_nulls_last(), F.col("text").asc_nulls_first()]
-
     def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(({"key": k[0], "chunk": k[1], "score": _folded(_tables(group, log))} for k, group in _groups(batches, order[:2])), level_schema)
 
     def higher(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(({"key": k[0], "chunk": k[1], "score": _folded([np.frombuffer(r["score"]).reshape(START + 1, START) for r in group])} for k, group in _groups(batches, ["key", "up"])), level_schema)
 
-    levels = [write_table(sorted_by(rows.select(*order, "_m", "_s", "_n", "_q"), ["key", "chunk"], in_order).mapInArrow(lowest, level_type), "level")]
+    levels = [write_table(sorted_by(rows.select(*order, "_m", "_s", "_n", "_q"), ["key", "chunk"], [F.col("row")]).mapInArrow(lowest, level_type), "level")]
     while (levels[-1].agg(F.max("chunk")).head()[0] or 0) > 0:
         up = levels[-1].withColumn("up", F.floor(F.col("chunk") / CHUNK).cast("long"))
         levels.append(write_table(sorted_by(up, ["key", "up"], [F.col("chunk")]).mapInArrow(higher, level_type), "level"))
@@ -216,7 +228,7 @@ def format_chat(lines: DataFrame, conv: str = "conv_id", position: str = "turn",
             schema = pa.schema([first.schema.field("conv"), first.schema.field("pos"), ("text", pa.string()), ("state", pa.int32()), ("opens", pa.bool_())])
             yield from _batches(made(first), schema)
 
-    found = sorted_by(rows.join(ends, ["key", "chunk"]), ["key", "chunk"], in_order).mapInArrow(roles, out_type)
+    found = sorted_by(rows.join(ends, ["key", "chunk"]), ["key", "chunk"], [F.col("row")]).mapInArrow(roles, out_type)
     role = F.element_at(F.array(*map(F.lit, ROLES)), F.col("state") + 1)
     rendered = F.concat(F.when(F.col("opens"), F.concat(F.lit("<|"), role, F.lit("|>\n"))).otherwise(""), F.trim(bare), F.lit("\n"))
     return found.select(F.col("conv").alias(conv), F.col("pos").alias(position), role.alias("role_pred"), "opens", rendered.alias("rendered"))

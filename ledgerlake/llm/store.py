@@ -62,3 +62,20 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list, name: str, row: str) -> DataFrame:
+    """``rows``, written, with ``row`` LONG: their places in ``order`` from 0. Equal rows
+    are dealt over several partitions; what is collected is a count for each partition."""
+    given = rows.withColumn("_tie", F.monotonically_increasing_id())
+    spread = [*order, F.col("_tie")]
+    ranged = given.repartitionByRange(*spread).sortWithinPartitions(*spread).drop("_tie")
+    placed = write_table(ranged.withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    start, starts = 0, []
+    for p, n in sorted(placed.groupBy(part.alias("p")).count().collect()):
+        starts.append((p, start))
+        start += n
+    offsets = F.broadcast(rows.sparkSession.createDataFrame(starts, "_part bigint, _start bigint"))
+    at = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(offsets, "_part").withColumn(row, at).drop("_part", "_start", "_at")
