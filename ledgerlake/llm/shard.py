@@ -8,7 +8,9 @@ differ by one row at most, slots have no gap, and anyone who knows a row's numbe
 count and the key can compute both.
 
 Nulls sort last. Rows that are equal in every column are interchangeable: they get
-different slots, and the set of slots they get is fixed. No rows give no rows.
+different slots, and the set of slots they get is fixed. No rows give no rows. Texts of
+any length may travel with a row, though they are better left out. A column that has the
+name of a result is replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlake.llm.hashing import mix
-from ledgerlake.llm.store import write_table
+from ledgerlake.llm.store import without, write_table
 
 ROUNDS = 6
 
@@ -53,32 +55,35 @@ def permute(x: np.ndarray, n: int, key: int) -> np.ndarray:
 def assign(rows: DataFrame, n_shards: int, key: int = 0) -> DataFrame:
     """``rows`` with ``row_number``, ``shard`` and ``slot``. ``rows`` should be narrow:
     an id and what must travel with it."""
+    rows = without(rows, ["row_number", "shard", "slot"])
     names = rows.columns
-    order = [F.col(c).asc_nulls_last() for c in names]
-    spread = [*order, F.col("_tie")]  # equal rows too are dealt over several partitions
-    ranged = rows.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*spread).sortWithinPartitions(*spread).drop("_tie")
+    inner = [f"c{i}" for i in range(len(names))]
+    rows = rows.toDF(*inner)
+    order = [F.col(c).asc_nulls_last() for c in inner]
+    spread = [*order, F.col("tie")]  # equal rows too are dealt over several partitions
+    ranged = rows.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(*spread).sortWithinPartitions(*spread).drop("tie")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
             n = batch.num_rows
-            yield batch.append_column("_part", pa.array(np.full(n, part, np.int32))).append_column("_at", pa.array(np.arange(at, at + n)))
+            yield batch.append_column("part", pa.array(np.full(n, part, np.int32))).append_column("at", pa.array(np.arange(at, at + n)))
             at += n
 
-    placed = write_table(ranged.mapInArrow(count, T.StructType([*rows.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_at", T.LongType())])), "shard")
-    counts = sorted((r[0], r[1]) for r in placed.groupBy("_part").agg(F.count("*")).collect())  # one row a partition
+    placed = write_table(ranged.mapInArrow(count, T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("at", T.LongType())])), "shard")
+    counts = sorted((r[0], r[1]) for r in placed.groupBy("part").agg(F.count("*")).collect())  # one row a partition
     n = sum(c for _, c in counts)
     offsets = dict(zip((p for p, _ in counts), np.cumsum([0] + [c for _, c in counts]).tolist(), strict=False))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base = np.fromiter(map(offsets.__getitem__, batch.column("_part").to_pylist()), np.int64, batch.num_rows)
-            row = base + batch.column("_at").to_numpy()
+            base = np.fromiter(map(offsets.__getitem__, batch.column("part").to_pylist()), np.int64, batch.num_rows)
+            row = base + batch.column("at").to_numpy()
             to = permute(row, n, key)
-            made = {"row_number": row, "shard": (to % n_shards).astype(np.int32), "slot": to // n_shards}
-            batch = batch.select(names)
-            for name, values in made.items():
+            batch = batch.select(inner)
+            for name, values in {"row_number": row, "shard": (to % n_shards).astype(np.int32), "slot": to // n_shards}.items():
                 batch = batch.append_column(name, pa.array(values))
             yield batch
 
-    return placed.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("row_number", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    made = placed.mapInArrow(number, T.StructType([*rows.schema.fields, T.StructField("row_number", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())]))
+    return made.toDF(*names, "row_number", "shard", "slot")
