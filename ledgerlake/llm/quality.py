@@ -106,10 +106,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, seed: int = 7)
     return e, w, bias
 
 
-def train(labelled: DataFrame, text: str, label: str, max_rows: int = MAX_ROWS) -> tuple | None:
-    """Fit on a sample of the rows whose label is 0 or 1."""
-    known = labelled.select(F.col(f"`{text}`").alias("t"), F.col(f"`{label}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    sample = distinct_texts(known, "t", "y", max_rows, LEAST, even=False)
+def train(labelled: DataFrame, text: str, label: str, max_rows: int = MAX_ROWS, hashed: str | None = None) -> tuple | None:
+    """Fit on a sample of the rows whose label is 0 or 1; ``hashed`` as in the sampling."""
+    known = labelled.withColumn(label, F.col(f"`{label}`").cast("int")).filter(F.col(f"`{label}`").isin(0, 1))
+    sample = distinct_texts(known, text, label, max_rows, LEAST, even=False, hashed=hashed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()

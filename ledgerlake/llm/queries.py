@@ -48,7 +48,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.filter(~F.col("held_out")).join(labels, "doc_id"), "text", "quality")
+    hashed = docs.filter(~F.col("held_out")).withColumn("h", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    model = quality.train(hashed.join(labels, "doc_id"), "text", "quality", hashed="h")
     return quality.score(docs, model).drop("text").withColumn("predicted", F.when(F.col("score") >= 0.3, 1).otherwise(0))
 
 
