@@ -24,20 +24,39 @@ def reap(store: Store) -> DataFrame:
     return store.heads()
 
 
+TERMS = "array<struct<field:string,term_s:string,term_i:bigint>>"
+
+
 def compact(store: Store, strategies: dict[str, str] | None = None) -> DataFrame:
-    """The journal with superseded bodies handled by their tag's strategy: ``retain``
-    keeps their index changes, ``recalc`` and ``recovr`` drop them."""
+    """The journal with superseded bodies handled by their tag's strategy. ``retain`` keeps
+    their index changes. ``recalc`` finds the index anew: where the tag tells the terms of
+    a body, the last body's changes are its ``diff`` from no terms, and all before go; else
+    of superseded rows stay, without bodies, the additions that are still in the index.
+    ``recovr`` drops superseded rows and their index changes, so entries can be lost."""
     rows = with_current(store)
     known = strategies or {name: tag.strategy for name, tag in store.tags.known.items()}
     strategy = F.lit("retain")
     for name, s in known.items():
         strategy = F.when(F.col("tag") == name, s).otherwise(strategy)
-    current = F.col("sqn") >= F.col("last_sqn")
-    keyed = ~current & (F.col("kind") == "stnd") & (strategy == "retain")
-    # A superseded body or tombstone under recalc/recovr goes; under retain its key stays.
-    kept = rows.filter(F.col("last_sqn").isNull() | current | (strategy == "retain"))
+    current = F.col("last_sqn").isNull() | (F.col("sqn") >= F.col("last_sqn"))
+    recalc = [name for name, s in known.items() if s == "recalc"]
+    told = [name for name in recalc if store.tags.of(name).index_terms]
+    idx = F.col("idx")
+    for name in told:
+        tag = store.tags.of(name)
+        anew = tag.diff(F.array().cast(TERMS), tag.index_terms(F.col("value")))
+        idx = F.when((F.col("tag") == name) & (F.col("kind") == "stnd"), anew).otherwise(idx)
+    rows = rows.withColumn("idx", idx)
+    if kept_by := [name for name in recalc if name not in told]:
+        live = store.index_state().filter("is_add").filter(F.col("tag").isin(kept_by)).select("sqn", F.col("bucket_type").alias("_t"), F.col("bucket").alias("_b"), F.col("key").alias("_k"), F.struct(F.lit("add").alias("op"), "field", "term_s", "term_i").alias("_x"))
+        live = live.groupBy("sqn", "_t", "_b", "_k").agg(F.collect_list("_x").alias("_live")).withColumnRenamed("sqn", "_s")
+        on = (F.col("sqn") == F.col("_s")) & F.col("bucket_type").eqNullSafe(F.col("_t")) & (F.col("bucket") == F.col("_b")) & (F.col("key") == F.col("_k")) & F.col("tag").isin(kept_by)
+        rows = rows.join(live, on, "left").drop("_s", "_t", "_b", "_k")
+        rows = rows.withColumn("idx", F.when(F.col("tag").isin(kept_by) & ~current, F.col("_live")).otherwise(F.col("idx"))).drop("_live")
+    still = (strategy == "retain") | (F.col("tag").isin(kept_by) & F.col("idx").isNotNull() if kept_by else F.lit(False))
+    keyed = ~current & still & ((F.col("kind") == "stnd") | (strategy == "recalc"))
     out = {"kind": F.when(keyed, "keyd").otherwise(F.col("kind")), "value": F.when(keyed, None).otherwise(F.col("value")), "size": F.when(keyed, 0).otherwise(F.col("size"))}
-    return kept.withColumns(out).select(SCHEMA.names)
+    return rows.filter(current | still).withColumns(out).select(SCHEMA.names)
 
 
 def compaction_score(store: Store, block: int = 1000) -> DataFrame:
@@ -48,17 +67,17 @@ def compaction_score(store: Store, block: int = 1000) -> DataFrame:
 
 
 def best_run(scores: DataFrame, longest: int = 4, threshold: float = 0.6) -> list[int]:
-    """The consecutive blocks with most to gain; scores are one row a block."""
-    rows = sorted((r["block"], 1 - r["live_size"] / r["total_size"] if r["total_size"] else 1.0) for r in scores.collect())
-    best, chosen = 0.0, []
-    for i in range(len(rows)):
-        for n in range(1, longest + 1):
-            run = rows[i : i + n]
-            if len(run) == n and run[-1][0] - run[0][0] == n - 1:
-                gain = sum(g - (1 - threshold) for _, g in run)
-                if gain > best:
-                    best, chosen = gain, [b for b, _ in run]
-    return chosen
+    """The consecutive blocks with most to gain, of ``longest`` blocks at most; the first and
+    shortest of equal ones. One row comes to the driver."""
+    dead = F.when(F.col("total_size") > 0, 1 - F.col("live_size") / F.col("total_size")).otherwise(1.0)
+    gains = scores.select("block", (dead - (1 - threshold)).alias("gain"))
+    runs = found = gains.select(F.col("block").alias("first"), F.col("block").alias("last"), "gain")
+    for _ in range(1, longest):
+        following = gains.select((F.col("block") - 1).alias("last"), F.col("gain").alias("more"))
+        runs = runs.join(following, "last").select("first", (F.col("last") + 1).alias("last"), (F.col("gain") + F.col("more")).alias("gain"))
+        found = found.unionByName(runs)
+    best = found.filter("gain > 0").orderBy(F.desc("gain"), "first", "last").head()
+    return list(range(best["first"], best["last"] + 1)) if best else []
 
 
 def trim(store: Store, persisted: int) -> DataFrame:

@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import attributes as A
@@ -20,9 +20,11 @@ from ledgerlake.functions import hashing as H
 from ledgerlake.operators.tags import Tags
 from ledgerlake.plans import evals, filters, setops
 from ledgerlake.plans.tokens import LanguageError
-from ledgerlake.sources.journal import GREGORIAN, KEY, value_hash
+from ledgerlake.sources.journal import GREGORIAN, KEY, value_hash, write_heads, write_index
 
 HEAD = ["sqn", "is_tomb", "size", "obj_hash", "lmd", "ttl"]
+ENTRY = ["bucket_type", "bucket", "field", "term_s", "term_i", "key"]
+STATE = ["sqn", "at", "is_add", "ttl", "tag"]
 Bucket = str | tuple[str, str]
 #: A range end that stands for no end.
 ALL = "$all"
@@ -62,12 +64,42 @@ class Query:
     values: dict[str, str | int] = field(default_factory=dict)
 
 
+def writes(log: DataFrame) -> DataFrame:
+    """What journal rows say of their keys' heads."""
+    return log.filter("kind <> 'keyd'").select(*KEY, "sqn", (F.col("kind") == "tomb").alias("is_tomb"), "size", "obj_hash", "lmd", "ttl")
+
+
+def last_writes(rows: DataFrame) -> DataFrame:
+    """The last write of each key. Of writes with one number a delete wins, then the larger
+    size, hash and times: the same one whatever order rows come in."""
+    last = rows.groupBy(*KEY).agg(F.max(F.struct(*HEAD)).alias("h"))
+    return last.select(*KEY, *[F.col(f"h.{c}").alias(c) for c in HEAD])
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Heads and index of a journal up to ``sqn``, sorted by key and by term."""
+
+    sqn: int
+    heads: DataFrame
+    index: DataFrame
+
+    @staticmethod
+    def read(spark: SparkSession, path: str) -> Layout:
+        return Layout(spark.read.parquet(f"{path}/as_of").head()[0], spark.read.parquet(f"{path}/heads"), spark.read.parquet(f"{path}/index"))
+
+
 @dataclass(frozen=True)
 class Store:
+    """With a ``layout`` heads and index entries are read from it, merged with what the
+    journal has after it; ranges of keys and terms then prune its files. A snapshot before
+    the layout reads the journal alone."""
+
     journal: DataFrame
     now: int | None = None
     max_sqn: int | None = None
     tags: Tags = field(default_factory=Tags)
+    layout: Layout | None = None
 
     # Views
 
@@ -83,11 +115,27 @@ class Store:
             max_sqn = self.log().agg(F.max("sqn")).head()[0] or 0
         return replace(self, max_sqn=max_sqn, now=self.clock())
 
+    def _since(self) -> tuple[Layout | None, DataFrame]:
+        """The layout, if it is part of this snapshot, and the journal rows after it."""
+        of = self.layout
+        if of is None or (self.max_sqn is not None and self.max_sqn < of.sqn):
+            return None, self.log()
+        return of, self.log().filter(F.col("sqn") > of.sqn)
+
+    def write_layout(self, path: str, files: int = 200) -> Layout:
+        """Write the layout of the store as it is now, and read it."""
+        now = self.snapshot()
+        write_heads(now.ledger(), f"{path}/heads")
+        write_index(now.index_state(), f"{path}/index", files)
+        spark = self.journal.sparkSession
+        spark.createDataFrame([(now.max_sqn,)], "sqn bigint").write.mode("overwrite").parquet(f"{path}/as_of")
+        return Layout.read(spark, path)
+
     def ledger(self) -> DataFrame:
         """The last write of each key, tombstones included."""
-        heads = self.log().filter("kind <> 'keyd'").select(*KEY, "sqn", (F.col("kind") == "tomb").alias("is_tomb"), "size", "obj_hash", "lmd", "ttl")
-        last = heads.groupBy(*KEY).agg(F.max_by(F.struct(*HEAD), "sqn").alias("h"))
-        return last.select(*KEY, *[F.col(f"h.{c}").alias(c) for c in HEAD])
+        of, log = self._since()
+        rows = writes(log)
+        return last_writes(rows if of is None else of.heads.select(rows.columns).unionByName(rows))
 
     def alive(self) -> Column:
         return F.col("ttl").isNull() | (F.col("ttl") >= self.clock())
@@ -97,12 +145,20 @@ class Store:
         rows = self.ledger() if tag is None else self.ledger().filter(F.col("tag") == tag)
         return rows.filter(~F.col("is_tomb") & self.alive()).drop("is_tomb")
 
+    def index_state(self) -> DataFrame:
+        """The last change of each index entry: whether it adds, and the number, expiry and
+        tag of the write that made it."""
+        of, log = self._since()
+        each = log.select("bucket_type", "bucket", "key", "sqn", "ttl", "tag", F.posexplode("idx").alias("at", "x"))
+        each = each.select("bucket_type", "bucket", F.col("x.field").alias("field"), F.col("x.term_s").alias("term_s"), F.col("x.term_i").alias("term_i"), "key", "sqn", "at", (F.col("x.op") == "add").alias("is_add"), "ttl", "tag")
+        if of is not None:
+            each = of.index.select(each.columns).unionByName(each)
+        last = each.groupBy(*ENTRY).agg(F.max(F.struct(*STATE)).alias("h"))
+        return last.select(*ENTRY, *[F.col(f"h.{c}").alias(c) for c in STATE])
+
     def index_entries(self) -> DataFrame:
         """Live index entries, each with the number of the write that made it."""
-        each = self.log().select("bucket_type", "bucket", "key", "sqn", "ttl", F.posexplode("idx").alias("at", "x")).select("bucket_type", "bucket", F.col("x.field").alias("field"), F.col("x.term_s").alias("term_s"), F.col("x.term_i").alias("term_i"), "key", "sqn", "ttl", "at", (F.col("x.op") == "add").alias("is_add"))
-        names = ["bucket_type", "bucket", "field", "term_s", "term_i", "key"]
-        last = each.groupBy(*names).agg(F.max(F.struct("sqn", "at", "is_add", "ttl")).alias("h"))
-        return last.filter("h.is_add").select(*names, F.col("h.sqn").alias("sqn"), F.col("h.ttl").alias("ttl")).filter(self.alive()).drop("ttl")
+        return self.index_state().filter("is_add").filter(self.alive()).select(*ENTRY, "sqn")
 
     def bodies(self) -> DataFrame:
         return self.log().filter("kind = 'stnd'").select(*KEY, "sqn", "value")
@@ -138,7 +194,9 @@ class Store:
     def is_empty(self, tag: str = "o") -> bool:
         return self.heads(tag).limit(1).isEmpty()
 
-    def key_list(self, tag: str = "o", bucket: Bucket | None = None, start: str | None = None, end: str | None = None, pattern: str | None = None) -> DataFrame:
+    def key_list(self, tag: str = "o", bucket: Bucket | None = None, start: str | None = None, end: str | None = None, pattern: str | None = None, ordered: bool = False, limit: int | None = None) -> DataFrame:
+        """Live keys; ``ordered`` by bucket and key if asked for, and always if there is a
+        ``limit``, which keeps the first ones."""
         if pattern is not None and tag == "h":
             raise LanguageError("patterns match plain keys only")
         rows = self.heads(tag)
@@ -146,6 +204,9 @@ class Store:
             rows = rows.filter(in_bucket(bucket) & in_range("key", start, end))
         if pattern is not None:
             rows = rows.filter(F.col("key").rlike(evals.java_pattern(pattern)))
+        if ordered or limit is not None:
+            rows = rows.orderBy(*bucket_order(), "key", F.col("sub_key").asc_nulls_first())
+        rows = rows if limit is None else rows.limit(limit)
         return rows.select("bucket_type", "bucket", "key")
 
     def head_fold(
@@ -188,8 +249,11 @@ class Store:
         if max_count is not None:
             rows = rows.orderBy(*order).limit(max_count)
         if presence:
-            there = self.log().filter("kind <> 'tomb'").select(F.col("sqn").alias("j_sqn"), F.col("bucket").alias("j_bucket"), F.col("key").alias("j_key"))
-            rows = rows.join(there, (F.col("sqn") == F.col("j_sqn")) & (F.col("key") == F.col("j_key")) & (F.col("bucket") == F.col("j_bucket")), "left_semi")
+            there = self.log().filter("kind <> 'tomb'").select(F.col("sqn").alias("j_sqn"), *[F.col(c).alias(f"j_{c}") for c in KEY])
+            on = F.col("sqn") == F.col("j_sqn")
+            for c in KEY:
+                on &= F.col(c).eqNullSafe(F.col(f"j_{c}")) if c in ("bucket_type", "sub_key") else F.col(c) == F.col(f"j_{c}")
+            rows = rows.join(there, on, "left_semi")
         return rows
 
     def head_page(self, max_count: int, **how) -> tuple[int, DataFrame]:
@@ -246,9 +310,17 @@ class Store:
         out = rows.filter(F.col("term_s") <= end)
         return out if start is None else out.filter(F.col("term_s") >= start)
 
-    def index_fold(self, bucket: Bucket, field_: str, start, end, start_key: str | None = None, returns: bool | str = False, pattern: str | None = None, query: Query | None = None) -> DataFrame:
+    def index_fold(self, bucket: Bucket, field_: str, start, end, start_key: str | None = None, returns: bool | str = False, pattern: str | None = None, query: Query | None = None, ordered: bool = False, limit: int | None = None) -> DataFrame:
         """Keys (``returns`` False), terms and keys (True) or an attribute and keys (its
-        name) of the entries in range. A key comes once for each of its terms."""
+        name) of the entries in range. A key comes once for each of its terms. They come
+        ``ordered`` by term and key if asked for, and always if there is a ``limit``, which
+        keeps the first ones that pass; the next page starts at the last one's term and key."""
+
+        def put(out: DataFrame) -> DataFrame:
+            if ordered or limit is not None:
+                out = out.orderBy(F.col("term_i").asc_nulls_first(), "term_s", "key")
+            return out if limit is None else out.limit(limit)
+
         rows = self._entries(bucket, field_, start, end)
         if start_key is not None:
             at = F.col("term_i") if isinstance(start, int) else F.col("term_s")
@@ -258,7 +330,7 @@ class Store:
         if query is None:
             if isinstance(returns, str):
                 raise LanguageError("an attribute can only be returned by a query")
-            return rows.select("term_s", "term_i", "key") if returns else rows.select("key")
+            return put(rows).select("term_s", "term_i", "key") if returns else put(rows).select("key")
         tree = filters.parse(query.filter, query.values) if isinstance(query.filter, str) else None
         wanted = (filters.names(tree) if tree else set()) | ({returns} if isinstance(returns, str) else set())
         term = A.term(F.col("term_s"), F.col("term_i"))
@@ -278,8 +350,8 @@ class Store:
             if get(returns) is None:
                 return rows.filter(F.lit(False)).select(F.lit(None).cast("string").alias("attr_s"), F.lit(None).cast("bigint").alias("attr_i"), F.lit(None).cast("array<string>").alias("attr_l"), "key")
             a = get(returns)
-            return rows.filter(A.exists(a)).select(a["s"].alias("attr_s"), a["i"].alias("attr_i"), a["l"].alias("attr_l"), "key")
-        return rows.select("term_s", "term_i", "key") if returns else rows.select("key")
+            return put(rows.filter(A.exists(a))).select(a["s"].alias("attr_s"), a["i"].alias("attr_i"), a["l"].alias("attr_l"), "key")
+        return put(rows).select("term_s", "term_i", "key") if returns else put(rows).select("key")
 
     def multi_index_fold(self, bucket: Bucket, queries: list[tuple[int, tuple]], combine: str | Callable) -> DataFrame:
         """Distinct keys of a set expression over index queries of one snapshot."""

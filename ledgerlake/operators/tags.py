@@ -30,6 +30,8 @@ class Tag:
     build_head: Callable[[Callable[[str], Column]], Column] | None = None
     extract_metadata: Callable[[Column], dict[str, Column]] | None = None
     diff: Callable[[Column, Column], Column] = diff_specs
+    #: The terms (field, term_s, term_i) that a body should be indexed by, if it tells them.
+    index_terms: Callable[[Column], Column] | None = None
     strategy: str = "retain"
 
 

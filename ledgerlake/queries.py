@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import hashing as H
 from ledgerlake.operators import maintain, tictac
-from ledgerlake.operators.store import Query, Store
+from ledgerlake.operators.store import Query, Store, last_writes
 from ledgerlake.sources import journal as J
 
 #: The clock of all queries: 1 February 2024.
@@ -114,7 +114,7 @@ CUSTOMERS = "WITH c AS (SELECT c_name || '|' || c_mktsegment || '|' || c_nationk
 PARTS = "WITH p AS (SELECT p_name AS name, p_brand AS brand, p_type AS kind, CAST(p_size AS BIGINT) AS size, lpad(CAST(p_partkey AS VARCHAR), 10, '0') AS key FROM part)\n"
 ORDERS = "WITH o AS (SELECT strftime(o_orderdate, '%Y%m%d') || '|' || o_orderstatus || '|' || o_orderpriority AS term, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_custkey, o_orderpriority AS value, CAST(floor(epoch(o_orderdate)) AS BIGINT) AS lmd FROM orders)\n"
 LINES = f"WITH l AS (SELECT lpad(CAST(l_orderkey AS VARCHAR), 10, '0') AS key, lpad(CAST(l_linenumber AS VARCHAR), 4, '0') AS sub_key, min(l_returnflag || '|' || l_linestatus || '|' || l_partkey) AS v FROM lineitem GROUP BY ALL), h AS (SELECT *, {hex_of('v', 1, 8)} AS obj_hash FROM l)\n"
-USER, DAY = "0000000008", 86400
+USER, DAY = "0000000009", 86400
 
 # Point reads and lists
 
@@ -245,7 +245,7 @@ def _(s, d):
 
 @query("fold_break", ORDERS + "SELECT key FROM o WHERE key > '0000000200' ORDER BY key LIMIT 50")
 def _(s, d):
-    return store(s, d, "orders").key_list(bucket="orders").filter("key > '0000000200'").orderBy("key").limit(50).select("key")
+    return store(s, d, "orders").key_list(bucket="orders", start="00000002000", limit=50).select("key")
 
 
 def seg_sql(text: str) -> str:
@@ -326,9 +326,15 @@ def _(s, d):
     return maintain.compact(store(s, d, "events")).select("sqn", "kind", "value")
 
 
-@query("compact_recalc", EVENTS + "SELECT j.sqn FROM j JOIN led USING (key) WHERE j.sqn = led.sqn")
+@query("compact_recalc", INDEX + "SELECT j.sqn, CASE WHEN j.sqn = led.sqn THEN CASE WHEN j.tomb THEN 'tomb' ELSE 'stnd' END ELSE 'keyd' END AS kind FROM j JOIN led USING (key) WHERE j.sqn = led.sqn OR j.sqn IN (SELECT sqn FROM last WHERE is_add UNION SELECT max(sqn) FROM j WHERE event_type = 'purchase' GROUP BY key, floor(v))")
 def _(s, d):
-    return maintain.compact(store(s, d, "events"), {"o": "recalc"}).select("sqn")
+    return maintain.compact(store(s, d, "events"), {"o": "recalc"}).select("sqn", "kind")
+
+
+@query("compact_recalc_index", INDEX + "SELECT key, t AS term_s, sqn FROM ix")
+def _(s, d):
+    after = maintain.compact(store(s, d, "events"), {"o": "recalc"})
+    return Store(after, now=NOW).index_entries().filter("field = 'last_bin'").select("key", "term_s", "sqn")
 
 
 @query("compaction_score", EVENTS + "SELECT CAST(floor(j.sqn / 1000) AS BIGINT) AS block, CAST(sum(CASE WHEN j.sqn = led.sqn THEN j.size ELSE 0 END) AS BIGINT) AS live_size, CAST(sum(j.size) AS BIGINT) AS total_size FROM j JOIN led USING (key) WHERE NOT j.tomb GROUP BY 1")
@@ -340,14 +346,13 @@ def _(s, d):
 def _(s, d):
     st = store(s, d, "events")
     early, late = st.snapshot(700).ledger(), Store(st.journal.filter("sqn > 700"), NOW).ledger()
-    from ledgerlake.streaming.ledger import last_writes
-
     return last_writes(early.unionByName(late)).select("key", "sqn", "is_tomb")
 
 
-@query("trim_journal", LINES + "SELECT count(*) AS n FROM h WHERE FALSE")
+@query("trim_journal", LINES + "SELECT 'h' AS tag, key, sub_key FROM h WHERE CAST(key AS BIGINT) * 10 + CAST(sub_key AS BIGINT) > 5000 UNION ALL SELECT 'o', lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), NULL FROM orders")
 def _(s, d):
-    return maintain.trim(store(s, d, "lines"), 1).agg(F.count("*").alias("n"))
+    lines = lines_journal(s, d).withColumn("sqn", F.col("key").cast("bigint") * 10 + F.col("sub_key").cast("bigint"))
+    return maintain.trim(Store(lines.unionByName(orders_journal(s, d)), now=NOW), 5000).select("tag", "key", "sub_key")
 
 
 # Index queries
@@ -360,7 +365,7 @@ def _(s, d):
 
 @query("index_page", ORDERS + "SELECT term AS term_s, key FROM o WHERE (term > '19950101|F|1-URGENT' OR term = '19950101|F|1-URGENT' AND key >= '0000000300') AND term <= '19960101' ORDER BY term, key LIMIT 40")
 def _(s, d):
-    return store(s, d, "orders").index_fold("orders", "order_bin", "19950101|F|1-URGENT", "19960101", start_key="0000000300", returns=True).orderBy("term_s", "key").limit(40).select("term_s", "key")
+    return store(s, d, "orders").index_fold("orders", "order_bin", "19950101|F|1-URGENT", "19960101", start_key="0000000300", returns=True, limit=40).select("term_s", "key")
 
 
 @query("index_keys", ORDERS + "SELECT key FROM o WHERE term >= '1996' AND term <= '1997'")

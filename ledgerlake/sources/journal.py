@@ -68,11 +68,12 @@ def append(batch: DataFrame, path: str, order: list[str], base: int | None = Non
     staged = spark.read.parquet(staging)
     start, offsets = base, []
     for part, n in sorted(staged.groupBy("_part").count().collect()):  # one row a partition
-        offsets += [F.lit(part), F.lit(start)]
+        offsets.append((part, start))
         start += n
     if offsets:
-        number = F.create_map(*offsets)[F.col("_part")] + F.col("_at") + 1
-        staged.withColumn("sqn", number).select(SCHEMA.names).write.mode("append").parquet(path)
+        begin = F.broadcast(spark.createDataFrame(offsets, "_part int, _start bigint"))
+        numbered = staged.join(begin, "_part").withColumn("sqn", F.col("_start") + F.col("_at") + 1)
+        numbered.select(SCHEMA.names).write.mode("append").parquet(path)
     there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
     return start

@@ -12,19 +12,14 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerlake.operators.store import HEAD
-from ledgerlake.sources.journal import KEY, SCHEMA
+from ledgerlake.operators.store import last_writes, writes
+from ledgerlake.sources.journal import SCHEMA
 
 COMPACT = 32
 
 
-def last_writes(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*KEY).agg(F.max_by(F.struct(*HEAD), "sqn").alias("h")).select(*KEY, *[F.col(f"h.{c}").alias(c) for c in HEAD])
-
-
 def parts(spark: SparkSession, path: str, before: int | None = None) -> list[str]:
     """Complete parts of the state that count: the last base and what came after it."""
     jvm = spark.sparkContext._jvm
@@ -53,8 +48,7 @@ def maintain(spark: SparkSession, journal: str, state: str, checkpoint: str, fil
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        own = batch.filter("kind <> 'keyd'").select(*KEY, "sqn", (F.col("kind") == "tomb").alias("is_tomb"), "size", "obj_hash", "lmd", "ttl")
-        last_writes(own).write.mode("overwrite").parquet(f"{state}/part-{number}")
+        last_writes(writes(batch)).write.mode("overwrite").parquet(f"{state}/part-{number}")
         if number % COMPACT == COMPACT - 1:
             current(session, state, number + 1).write.mode("overwrite").parquet(f"{state}/base-{number}")
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import hashing as H
 from ledgerlake.operators import maintain, tictac
-from ledgerlake.operators.store import Query, Store
+from ledgerlake.operators.store import Layout, Query, Store
 from ledgerlake.operators.tags import Tag, Tags
 from ledgerlake.plans.tokens import LanguageError
 from ledgerlake.sources import journal as J
@@ -208,6 +208,79 @@ def test_compaction(spark):
     score = maintain.compaction_score(s, 2)
     assert {r["block"]: (r["live_size"], r["total_size"]) for r in score.collect()} == {0: (0, 2), 1: (2, 4)}
     assert maintain.best_run(score) == [0, 1]
+    blocks = spark.createDataFrame([(0, 9, 10), (1, 1, 10), (2, 2, 10), (3, 9, 10), (5, 0, 0), (6, 0, 10), (8, 0, 10)], "block bigint, live_size bigint, total_size bigint")
+    assert maintain.best_run(blocks) == [5, 6] and maintain.best_run(blocks, 1) == [5]
+    assert maintain.best_run(blocks.filter("block IN (0, 3)")) == []
+
+
+def test_recalc_keeps_or_derives_the_index(spark):
+    rows = journal(spark, {"key": "a", "idx": [add("f", "x"), add("f", "y")]}, {"key": "a", "idx": [remove("f", "y"), add("f", "z")]}, {"key": "a"}, {"key": "b", "idx": [add("f", "x")]}, {"key": "b", "idx": [remove("f", "x")]}, {"key": "b"}, {"key": "c", "ttl": NOW + 5, "idx": [add("f", "t")]}, {"key": "c"})
+    s = Store(rows, NOW)
+    entries = lambda st: sorted((r["term_s"], r["key"], r["sqn"]) for r in st.index_entries().collect())
+    after = maintain.compact(s, {"o": "recalc"})
+    assert entries(Store(after, NOW)) == entries(s) == [("t", "c", 7), ("x", "a", 1), ("z", "a", 2)]
+    assert entries(Store(after, NOW + 6)) == entries(Store(rows, NOW + 6)) == [("x", "a", 1), ("z", "a", 2)]
+    assert {r["sqn"]: (r["kind"], r["value"]) for r in after.collect()} == {1: ("keyd", None), 2: ("keyd", None), 3: ("stnd", "v3"), 6: ("stnd", "v6"), 7: ("keyd", None), 8: ("stnd", "v8")}
+    assert entries(Store(maintain.compact(s, {"o": "recovr"}), NOW)) == []
+    again = maintain.compact(Store(after, NOW), {"o": "recalc"})
+    assert entries(Store(again, NOW)) == entries(s)
+    term = lambda v: F.array(F.struct(F.lit("f").alias("field"), v.alias("term_s"), F.lit(None).cast("bigint").alias("term_i")))
+    told = Store(rows, NOW, tags=Tags({"o": Tag(strategy="recalc", index_terms=term)}))
+    derived = maintain.compact(told)
+    assert entries(Store(derived, NOW)) == [("v3", "a", 3), ("v6", "b", 6), ("v8", "c", 8)] and derived.count() == 3
+
+
+def test_writes_of_one_number_have_one_winner(spark):
+    rows = [{"key": "k", "sub_key": "s", "tag": "h", "kind": k, "obj_hash": h, "size": n, "sqn": 5} for k, h, n in (("mput", 3, 1), ("mput", 9, 2), ("mput", 4, 2))]
+    for turn in (rows, rows[::-1]):
+        assert [r["obj_hash"] for r in Store(journal(spark, *turn).repartition(3), NOW).heads("h").collect()] == [9]
+    assert Store(journal(spark, *rows, {**rows[0], "kind": "tomb"}), NOW).heads("h").count() == 0
+
+
+def test_presence_needs_the_whole_key(spark):
+    rows = journal(spark, {"key": "a", "sqn": 1}, {"key": "a", "sqn": 1, "bucket_type": "T"})
+    full = Store(rows, NOW)
+    lost = Store(rows.filter("bucket_type IS NULL"), NOW)
+    assert full.head_fold(presence=True).count() == 2 and lost.head_fold(presence=True).count() == 1
+    of = Layout(1, full.ledger(), full.index_state())
+    # Heads that the journal has no row of are known from the layout alone.
+    assert Store(rows.filter("bucket_type IS NULL"), NOW, layout=of).head_fold(presence=True).count() == 1
+
+
+def test_order_and_limit(spark):
+    s = Store(journal(spark, *({"key": k, "idx": [add("f", t)]} for k, t in [("k2", "b"), ("k3", "a"), ("k1", "b"), ("k4", "c")])), NOW)
+    got = [(r["term_s"], r["key"]) for r in s.index_fold("B", "f", "a", "z", returns=True, ordered=True).collect()]
+    assert got == [("a", "k3"), ("b", "k1"), ("b", "k2"), ("c", "k4")]
+    assert [(r["term_s"], r["key"]) for r in s.index_fold("B", "f", "a", "z", returns=True, limit=2).collect()] == got[:2]
+    assert [(r["term_s"], r["key"]) for r in s.index_fold("B", "f", "b", "z", start_key="k2", returns=True, limit=2).collect()] == got[2:]
+    q = Query('delim($term, "|", ($t))', '$t > "a"')
+    assert [r["key"] for r in s.index_fold("B", "f", "a", "z", query=q, limit=2).collect()] == ["k1", "k2"]
+    assert [r["attr_s"] for r in s.index_fold("B", "f", "a", "z", returns="t", query=q, ordered=True).collect()] == ["b", "b", "c"]
+    assert [r["key"] for r in s.key_list(bucket="B", limit=3).collect()] == ["k1", "k2", "k3"]
+    assert [r["key"] for r in s.key_list(ordered=True).collect()] == ["k1", "k2", "k3", "k4"]
+
+
+def test_layouts_prune_files_and_merge_with_later_writes(spark, tmp_path):
+    old = [{"key": f"k{i:03d}", "idx": [add("f", f"t{i:03d}"), add("n", i)]} for i in range(60)]
+    new = [{"key": "k001", "kind": "tomb", "idx": [remove("f", "t001")]}, {"key": "k060", "idx": [add("f", "t030x")]}, {"key": "k002", "value": "again"}]
+    J_path, path = str(tmp_path / "journal"), str(tmp_path / "layout")
+    journal(spark, *old).write.parquet(J_path)
+    of = Store(J.read(spark, J_path), NOW).write_layout(path, 4)
+    journal(spark, *old, *new).filter("sqn > 60").write.mode("append").parquet(J_path)
+    plain = Store(J.read(spark, J_path), NOW)
+    s = Store(J.read(spark, J_path), NOW, layout=of)
+    assert of.sqn == 60
+    for ask in (lambda x: x.ledger(), lambda x: x.index_entries(), lambda x: x.heads("o"), lambda x: x.snapshot(61).index_entries(), lambda x: x.snapshot(30).heads(), lambda x: x.index_fold("B", "f", "t025", "t031", returns=True), lambda x: x.index_fold("B", "n", 3, 9, returns=True), lambda x: x.get("B", "k002"), lambda x: x.bucket_list()):
+        assert sorted(map(str, ask(s).collect())) == sorted(map(str, ask(plain).collect()))
+    rows = s.index_fold("B", "f", "t025", "t031", returns=True)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 5000)
+    plan = rows._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = next(x for x in plan.split("\n") if "FileScan" in x and "layout/index" in x)
+    assert "GreaterThanOrEqual(term_s,t025)" in scan and "LessThanOrEqual(term_s,t031)" in scan
+    # Of the files sorted by term those that can't hold the range aren't opened for rows.
+    holding = [f for f in of.index.inputFiles() if spark.read.parquet(f).filter("term_s BETWEEN 't025' AND 't031'").count()]
+    assert 0 < len(holding) < len(of.index.inputFiles())
 
 
 def test_index_changes(spark):
