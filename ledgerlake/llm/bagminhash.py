@@ -50,6 +50,8 @@ THRESHOLD = 0.8
 FLOOR = 0.64
 #: Members of a part of a bucket and bytes of their multisets; a block holds two parts.
 PART, PART_BYTES = 1000, 4 << 20
+#: Pairs of one node that meet in one place, unless that makes over 10,000 such nodes.
+PAIRS = 400
 _CHUNK = 1 << 18
 #: Bits of the map of wanted nodes; 8 MB.
 BITMAP = 1 << 26
@@ -262,7 +264,8 @@ def multisets(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
 
     texts = docs.select(F.col(f"`{text}`").alias("text")).filter("text IS NOT NULL")
     made = texts.mapInArrow(keyed, "node binary, shingled binary").filter(F.length("shingled") > 0)
-    return made.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("shingled").alias("shingled"))
+    # Copies of a text are one row of each task before they meet.
+    return made.groupBy("node").agg(F.first("shingled").alias("shingled")).join(wanted, "node", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -289,8 +292,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def beside(pairs: DataFrame, things: DataFrame, column: str, out: str, made: Callable, schema: str) -> DataFrame:
         """``made`` over pairs and what ``things`` hold of both. Few pairs are sent to the
-        things, which then stay where they are."""
-        side = lambda x: things.join(pairs.withColumn("node", F.col(x)), "node").select("a", "b", F.col(column).alias(f"{out}_{x}"))
+        things, which then stay where they are. A node with many pairs, as leaders have, is
+        there several times, and each of its pairs meets one of these."""
+        heavy = max(PAIRS, pairs.count() // 10_000)
+
+        def side(x: str) -> DataFrame:
+            rows = pairs.withColumn("node", F.col(x))
+            # At most 10,000 nodes on either side of a pair have so many.
+            parts = F.broadcast(rows.groupBy("node").agg(F.count("*").alias("n")).filter(F.col("n") > heavy).select("node", F.ceil(F.col("n") / heavy).cast("int").alias("parts")))
+            salted = rows.join(parts, "node", "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int"))
+            copies = things.join(parts, "node", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+            return copies.join(salted, ["node", "salt"]).select("a", "b", F.col(column).alias(f"{out}_{x}"))
+
         return side("a").join(side("b"), ["a", "b"]).select("a", "b", f"{out}_a", f"{out}_b").mapInArrow(made, schema)
 
     # The most central member leads, from whose text the others were made if any was.
