@@ -12,9 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import attributes as A
 from ledgerlake.functions import hashing as H
 from ledgerlake.operators import maintain, tictac
 from ledgerlake.operators.store import Query, Store, last_writes
+from ledgerlake.operators.tags import Tag, Tags
+from ledgerlake.plans import evals
 from ledgerlake.sources import journal as J
 
 #: The clock of all queries: 1 February 2024.
@@ -563,3 +566,98 @@ def _(s, d):
 def _(s, d):
     wide = H.adjust_segments(list(range(1000)), "xsmall", "small")
     return order_keys(s, d).filter(F.col("x.seg").isin(wide)).select("key")
+
+
+@query("segment_filter", ORDERS + f"SELECT key FROM o WHERE ({ORDER_SEG} & 16383) IN (3, 77, 5000, 16000) OR {ORDER_SEG} BETWEEN 100 AND 2999")
+def _(s, d):
+    wanted = H.segment_filter([3, 77, 5000, 16000], "xsmall") + H.segment_filter(list(range(100, 3000)), "small")
+    return order_keys(s, d).filter(F.col("x.seg").isin(wanted)).select("key")
+
+
+@query("tictac_export", ORDERS_HASHED + ORDER_TREE)
+def _(s, d):
+    text = tictac.export(tictac.of_objects(store(s, d, "orders"), "o", "orders", "xsmall"), "xsmall")
+    return tictac.load(s, text)[0]
+
+
+@query("tictac_add", ORDERS_HASHED + tree_sql(f"(SELECT key, obj_hash FROM oh UNION ALL SELECT 'new', {hex_of(chr(39) + 'v' + chr(39), 1, 8)})", "'orders' || key", "obj_hash", 64))
+def _(s, d):
+    return tictac.add(tictac.of_objects(store(s, d, "orders"), "o", "orders", "xsmall"), "ordersnew", "v", "xsmall")
+
+
+@query("tictac_alter", ORDERS_HASHED + f"SELECT * FROM ({ORDER_TREE}) WHERE segment <> 77 UNION ALL SELECT 77, 4242")
+def _(s, d):
+    return tictac.alter(tictac.of_objects(store(s, d, "orders"), "o", "orders", "xsmall"), 77, 4242)
+
+
+# What an application defines
+
+
+def tagged(s: SparkSession, d: str, name: str, tag: Tag) -> Store:
+    return Store(JOURNALS[name](s, d), now=NOW, tags=Tags({"o": tag}))
+
+
+@query("tag_canonical", ORDERS_HASHED + tree_sql("oh", "reverse(key)", "obj_hash", 64))
+def _(s, d):
+    return tictac.of_objects(tagged(s, d, "orders", Tag(canonical=lambda row: F.reverse(row("key")))), "o", "orders", "xsmall")
+
+
+@query("tag_head", EVENTS + f"SELECT key, key || '/' || size AS head FROM live WHERE key = '{USER}'")
+def _(s, d):
+    build = lambda row: F.concat_ws("/", row("key"), row("size").cast("string"))
+    return tagged(s, d, "events", Tag(build_head=build)).head("events", USER).select("key", "head")
+
+
+@query("tag_metadata", PARTS + "SELECT key, substr(name, 1, 1) AS first, CAST(length(name) AS BIGINT) AS letters FROM p")
+def _(s, d):
+    extract = lambda body: {"first": F.substring(body, 1, 1), "letters": F.char_length(body).cast("bigint")}
+    return tagged(s, d, "part", Tag(extract_metadata=extract)).metadata("o").select("key", "first", "letters")
+
+
+@query("tag_strategy", EVENTS + "SELECT j.sqn, CASE WHEN j.tomb THEN 'tomb' ELSE 'stnd' END AS kind FROM j JOIN led USING (key) WHERE j.sqn = led.sqn")
+def _(s, d):
+    return maintain.compact(tagged(s, d, "events", Tag(strategy="recovr"))).select("sqn", "kind")
+
+
+@query("query_callables", ORDERS + "SELECT term AS term_s, key FROM o WHERE term >= '1993' AND term <= '1996' AND split_part(term, '|', 2) = 'F'")
+def _(s, d):
+    def status(rows: DataFrame) -> DataFrame:
+        return rows.withColumn(f"{evals.PREFIX}status", A.term(F.split_part("term_s", F.lit("|"), F.lit(2)), F.lit(None).cast("bigint")))
+
+    own = Query(status, lambda get: get("status")["s"] == "F")
+    return store(s, d, "orders").index_fold("orders", "order_bin", "1993", "1996", returns=True, query=own).select("term_s", "key")
+
+
+@query("combine_callable", CUSTOMERS + "SELECT key FROM c WHERE (seg BETWEEN 'B' AND 'F') <> (nat2 BETWEEN '05' AND '15')")
+def _(s, d):
+    either = lambda sets: sets[1].unionAll(sets[2]).groupBy("key").agg(F.count("*").alias("n")).filter("n = 1").select("key")
+    sets = [(1, ("seg_bin", "B", "F", Query())), (2, ("nat_bin", "05", "15", Query()))]
+    return store(s, d, "customer").multi_index_fold("customer", sets, either)
+
+
+@query("partition_filter", ORDERS_HASHED + tree_sql("oh WHERE CAST(key AS BIGINT) % 3 = 0", "'orders' || key", "obj_hash", 64))
+def _(s, d):
+    return tictac.of_objects(store(s, d, "orders"), "o", "orders", "xsmall", keep=F.col("key").cast("bigint") % 3 == 0)
+
+
+@query("return_folder", EVENTS + "SELECT key, size FROM live WHERE key BETWEEN '0000000010' AND '0000000060'")
+def _(s, d):
+    asked = ("foldheads_bybucket", "o", "events", ("0000000010", "0000000060"))
+    return store(s, d, "events", "customer").return_folder(asked).select("key", "size")
+
+
+@query(
+    "best_run",
+    EVENTS.replace("WITH j", "WITH RECURSIVE j", 1)
+    + """, g AS (
+  SELECT CAST(floor(j.sqn / 1000) AS BIGINT) AS block, 1 - CAST(sum(CASE WHEN j.sqn = led.sqn THEN j.size ELSE 0 END) AS DOUBLE) / CAST(sum(j.size) AS DOUBLE) - CAST(0.4 AS DOUBLE) AS gain
+  FROM j JOIN led USING (key) WHERE NOT j.tomb GROUP BY 1
+), r AS (
+  SELECT block AS lo, block AS hi, gain FROM g
+  UNION ALL SELECT r.lo, g.block, r.gain + g.gain FROM r JOIN g ON g.block = r.hi + 1 WHERE r.hi - r.lo < 3
+), best AS (SELECT * FROM r WHERE gain > 0 ORDER BY gain DESC, lo, hi LIMIT 1)
+SELECT unnest(range(lo, hi + 1)) AS block FROM best""",
+)
+def _(s, d):
+    run = maintain.best_run(maintain.compaction_score(store(s, d, "events")))
+    return s.createDataFrame([(b,) for b in run], "block bigint")
