@@ -187,7 +187,11 @@ def apply(steps: list[Step], df: DataFrame, term: Column, key: Column, wanted: I
         if made:
             df = df.withColumns({PREFIX + n: c for n, c in made.items()})
             have |= set(made)
-    return df, have & set(wanted)
+    found = have & set(wanted)
+    # A filter pushed below the steps would repeat each step as often as the next one looks
+    # at it, and grow by a power; one over a column that isn't deterministic stays above.
+    here = F.monotonically_increasing_id() >= 0
+    return df.withColumns({PREFIX + n: F.when(here, F.col(f"`{PREFIX}{n}`")) for n in sorted(found)}), found
 
 
 def _columns(step: Step, after: set[str], have: set[str], term: Column, key: Column) -> dict[str, Column]:

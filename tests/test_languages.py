@@ -86,6 +86,19 @@ def evaluated(spark, program: str, rows: list[tuple], wanted: set[str]) -> list[
     return out
 
 
+def test_a_filter_stays_above_the_steps(spark):
+    """Pushed below them it would hold the work of each step several times over."""
+    size = {}
+    for n in (2, 4):
+        program = "to_integer($term, $a0)" + "".join(f" | add($a{i}, 1, $a{i + 1})" for i in range(n))
+        df = spark.createDataFrame([("7", "k")], "term_s string, key string")
+        df, _ = evals.apply(evals.parse(program), df, A.term(F.col("term_s"), F.lit(None)), F.col("key"), [f"a{n}"])
+        kept = df.filter(F.col(f"`{evals.PREFIX}a{n}`.i") == 7 + n).select("key")
+        assert kept.count() == 1
+        size[n] = kept._jdf.queryExecution().optimizedPlan().toString().count("try_cast") + kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract")
+    assert size[2] == size[4]
+
+
 def test_parse_a_shelf_mark(spark):
     rows = [("Dune|04/1965||desert~worms|F7~F9", "copy-31")]
     got = evaluated(spark, 'delim($term, "|", ($title, $when, $lent, $topics, $shelves)) | index($when, 3, 4, $year) | to_integer($year, $year) | split($topics, "~", $about) | join(($title, $lent, $when), "+", $label)', rows, {"title", "lent", "year", "about", "label"})
